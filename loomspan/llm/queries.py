@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, suffix_dedup, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = line_dedup.line_keep_runs(docs, min_docs=10, min_chars=1)
@@ -77,7 +82,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op4_language_id, op5_byte_bpe, op7_line_dedup, op8_token_counts, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op4_language_id, op5_byte_bpe, op6_nearest, op7_line_dedup, op8_token_counts, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
