@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts
+from . import bpe, decontaminate, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts, url_filter, url_filter_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,15 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(docs).select("doc_id", "class_id", "n_links")
 
 
+#: Rules of the url query.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -82,8 +91,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_decontaminate, op4_language_id, op5_byte_bpe, op6_nearest, op7_line_dedup, op8_token_counts, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_language_id, op5_byte_bpe, op6_nearest, op7_line_dedup, op8_token_counts, op9_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL.strip()}
+    return {"op2_url_filter": url_filter_sql.sql(URL_RULES), "op7_line_dedup": OP7_SQL.strip()}
