@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts, url_filter, url_filter_sql
+from . import bpe, decontaminate, html_extract, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts, url_filter, url_filter_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +90,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extracted(pages, html_extract.fit_on(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_language_id, op5_byte_bpe, op6_nearest, op7_line_dedup, op8_token_counts, op9_suffix_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_language_id, op5_byte_bpe, op6_nearest, op7_line_dedup, op8_token_counts, op9_suffix_dedup, op10_html_extract)}
 
 
 def oracle_sql() -> dict[str, str]:
