@@ -1,4 +1,75 @@
-STAGES = []
-ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline in five stages: language ID, line dedup, near-duplicate join, decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; what it returns is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``. A table with
+no rows goes through every stage."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomspan.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
+from loomspan.llm.common import fresh, shared_dir
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4. Documents without a letter in any script (``und``) go. Profiles are learned from labelled documents."""
+    taught = docs.where(~language_id.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    profiles = language_id.fit_profiles(taught, order=F.col("doc_id"))
+    said = language_id.identify_language(docs, profiles)
+    return said.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7. Lines found in 10 documents or more go; ``text`` and ``n_chars`` are what is left. A document all of
+    whose lines go has nothing left and goes too."""
+    judged = line_dedup.line_keep_runs(docs, min_docs=10, min_chars=1)
+    name = fresh(judged, "left")
+    left = judged.withColumn(name, line_dedup.kept_text(F.col("text"), F.col("keep_runs"))).where(F.col("n_dropped") < F.col("n_lines"))
+    rest = {"text": F.col(name).alias("text"), "n_chars": F.length(name).cast("long").alias("n_chars")}
+    return left.select(*[rest.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1. Of each group of documents linked by a similarity of 0.8 or more on five-word runs, the one with the
+    smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3. Documents that overlap a benchmark item go."""
+    return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5. The digests of each document's token ids, and of the bytes decoded from them."""
+    made = bpe.bpe_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return made.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", languages),
+    ("line_dedup", lines),
+    ("ngram_join", near_copies),
+    ("decontaminate", decontaminated),
+    ("byte_bpe", encoded),
+]
+
+#: SQL can't express rank-order profiles or byte-pair merges; a test holds the stages against plain Python instead.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, with each result written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{where}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
