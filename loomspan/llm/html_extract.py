@@ -131,13 +131,14 @@ def training_pages(pages: list[str]) -> list[str]:
 def _named(k: int) -> str:
     """A layout that puts a few of the names, another few for each ``k``, and the tags of boilerplate on the page, before,
     inside and after an article that has a name or tag of its own; each kind of block holds what the others hold."""
-    name = lambda i: BOILERPLATE[(5 * k + i) % len(BOILERPLATE)]
+    name = lambda i: BOILERPLATE[(7 * k + i) % len(BOILERPLATE)]
     tag = ("aside", "form", "nav", "footer", "menu", "dialog", "header")[k % 7]
     own = (f'div class="{CONTENT[k % len(CONTENT)]}"', "article", "main", "section", "div", f'div id="{CONTENT[k % len(CONTENT)]}-area"')[k % 6]
     block = '<{0} class="{1}" data-content="0">{{other}}</{0}>'.format
     inner = '<{0} class="{1}" data-content="0"><p>{{other}}</p><p>{{other}}</p></{0}>'.format
-    body = f'<h1>{{title}}</h1>{{text}}{inner("div", name(0))}<p>{{other}}</p>{block("div", name(1))}<{tag} data-content="0"><p>{{other}}</p></{tag}>{{text}}'
-    return f'<body>{block("div", name(2))}{inner("section", name(3))}<div><{own} data-content="1">{body}</{own.split()[0]}></div>{inner("div", name(4))}<{tag} data-content="0">{{other}}</{tag}></body>'
+    listed = '<{0} class="{1}" data-content="0"><h3>{{other}}</h3><ul><li>{{other}}</li><li>{{other}}</li></ul></{0}>'.format
+    body = f'<h1>{{title}}</h1>{{text}}{inner("div", name(0))}<p>{{other}}</p>{listed("div", name(5))}<ul><li>{{other}}</li></ul>{block("div", name(1))}<{tag} data-content="0"><p>{{other}}</p></{tag}>{{text}}'
+    return f'<body>{block("div", name(2))}{inner("section", name(3))}<div><{own} data-content="1">{body}</{own.split()[0]}></div>{inner("div", name(4))}{listed("div", name(6))}<{tag} data-content="0">{{other}}</{tag}></body>'
 
 
 def fit(labelled: list[str], rounds: int = 15) -> Model:
