@@ -1,0 +1,165 @@
+import hashlib
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomspan.functions import conversation as talk
+from loomspan.functions import text as texts
+from loomspan.operators import context
+from loomspan.operators.chat import answered, capabilities
+from loomspan.plans.compiler import Engine
+from loomspan.plans.graph import Graph
+
+
+def ports(spark, node, params, given, wanted, **engine):
+    """Runs one node on rows of its input ports; its wanted ports by row."""
+    names = list(given[0])
+    nodes = {f"i_{n}": ("input", {"label": n, "value": None}) for n in names} | {"x": (node, params)}
+    nodes |= {f"o_{p}": ("output", {}) for p in wanted}
+    edges = [(f"i_{n}.output", f"x.{n}") for n in names] + [(f"x.{p}", f"o_{p}.input") for p in wanted]
+    rows = spark.createDataFrame([(k, *[g[n] for n in names]) for k, g in enumerate(given)], "k long, " + ", ".join(f"{n} string" for n in names))
+    done = Engine(**engine).run(Graph.of("g", nodes, edges), rows).orderBy("k").collect()
+    return [tuple(r[f"o_{p}"]["result"] if r[f"o_{p}"] else None for p in wanted) for r in done]
+
+
+SAMPLES = ["it's o'neil-smith x2y", "\t\xa0pad　\r\n", "a😀b é", "ÉTÉ ǆ ß", "", "UPPER lower Title", "１２ a", "don't  stop"]
+
+
+@pytest.mark.parametrize(("operation", "python"), [("uppercase", str.upper), ("lowercase", str.lower), ("title", str.title), ("strip", str.strip), ("reverse", lambda t: t[::-1]), ("unknown", lambda t: t)])
+def test_text_transform(spark, operation, python):
+    got = ports(spark, "text_transform", {"operation": operation}, [{"text": t} for t in SAMPLES], ["output"])
+    assert [g for (g,) in got] == [python(t) for t in SAMPLES]
+
+
+def test_words_and_spaces(spark):
+    rows = spark.createDataFrame([(t,) for t in [*SAMPLES, texts.SPACES, f"a{texts.SPACES}b"]], "t string")
+    assert [r[0] for r in rows.select(texts.words(F.col("t"))).collect()] == [t.split() for t in [*SAMPLES, texts.SPACES, f"a{texts.SPACES}b"]]
+    assert all(c.isspace() for c in texts.SPACES) and len(texts.SPACES) == 29
+
+
+@pytest.mark.parametrize("pattern", [r"[A-Z]+", r"\w+", "a*", r"x(\d)", r"(?P<q>l)o", "["])
+def test_text_filter(spark, pattern):
+    given = ["Hello World x1 x2", "baac", "", "élan [vital] lo"]
+    got = ports(spark, "text_filter", {"pattern": pattern}, [{"text": t} for t in given], ["matches", "filtered"])
+    if pattern == "[":
+        assert got == [("[" if "[" in t else "", t.replace("[", "")) for t in given]
+    else:
+        assert got == [("\n".join(re.findall(pattern, t)), re.sub(pattern, "", t)) for t in given]
+
+
+def test_text_filter_others(spark):
+    given = [{"text": "abab"}]
+    assert ports(spark, "text_filter", {"pattern": ""}, given, ["matches", "filtered"]) == [("", "abab")]
+    assert ports(spark, "text_filter", {"pattern": "(a)(b)"}, given, ["matches"]) == [(None,)]
+    assert ports(spark, "text_filter", {"pattern": r"(?P<c>a)b(?P=c)"}, given, ["matches", "filtered"]) == [("a", "b")]
+
+
+def test_text_concat(spark):
+    assert ports(spark, "text_concat", {"separator": "-"}, [{"text1": "a", "text2": "", "text3": "c"}, {"text1": "0", "text2": None, "text3": None}], ["output"]) == [("a-c",), ("0",)]
+
+
+@pytest.mark.parametrize(("text", "number"), [("3.0", 3.0), ("7", 7.0), ("1e3", 0.0), ("1_000", 1000.0), (" 5 ", 5.0), ("NaN", 0.0), ("", 0.0), ("1.5.2", 0.0), ("-.5", -0.5), ("2.", 2.0), ("1.5e2", 150.0), (".", 0.0)])
+def test_numbers(spark, text, number):
+    assert spark.createDataFrame([(text,)], "t string").select(texts.number(F.col("t"))).first()[0] == number
+
+
+DATA = {"a": {"b": 1, "n": None, "t": True, "o": {"x": [1, "y"]}, "f": 1.5}, "s": "text"}
+
+
+@pytest.mark.parametrize("path", ["a.b", "a.n", "a.t", "a.o", "a.f", "s", "a.zip", "s.deep", "zip.b", "a.o.x.0", ""])
+def test_json_extract(spark, path):
+    at, reason = DATA, "missing_data_or_key" if not path else None
+    for part in path.split(".") if path else []:
+        if not isinstance(at, dict) or part not in at:
+            reason = f"key_not_found: {part}"
+            break
+        at = at[part]
+    expected = ("dflt" if reason else str(at), not reason, reason)
+    data = json.dumps(DATA)
+    graph = Graph.of("g", {"d": ("input", {"label": "d", "data_type": "json"}), "k": ("input", {"label": "k"}), "x": ("json_extract", {"key_path": path, "default_value": "dflt"}), "y": ("json_extract", {"key_path": "s", "default_value": "dflt"}), "v": ("output", {}), "f": ("output", {}), "w": ("output", {})}, [("d.output", "x.data"), ("d.output", "y.data"), ("k.output", "y.key"), ("x.value", "v.input"), ("x.found", "f.input"), ("y.value", "w.input")])
+    row = Engine().run(graph, spark.createDataFrame([(data, path)], "d string, k string")).first()
+    found = (row["v"]["result"], row["f"]["result"]["success"], row["f"]["result"]["reason"])
+    assert found == expected
+    assert row["w"]["result"] == ("text" if not path else expected[0])  # a key port that isn't empty wins
+
+
+def test_json_extract_of_empty_data(spark):
+    got = ports(spark, "json_extract", {"key_path": "a", "default_value": "d"}, [{"data": "{}"}, {"data": "not json"}], ["value"])
+    assert got == [("d",), ("d",)]
+
+
+def test_json_replace(spark):
+    def run(data, path, **more):
+        graph = Graph.of("g", {"d": ("input", {"label": "d", "data_type": "json"}), "v": ("input", {"label": "v"}), "r": ("json_replace", {"key_path": path, **more}), "t": ("output", {}), "s": ("output", {})}, [("d.output", "r.data"), ("v.output", "r.value"), ("r.text", "t.input"), ("r.success", "s.input")])
+        row = Engine().run(graph, spark.createDataFrame([(json.dumps(data), 'q"uote')], "d string, v string")).first()
+        return json.loads(row["t"]["result"]), row["s"]["result"]["success"], row["s"]["result"]["reason"]
+
+    assert run({"a": 1}, "b.c") == ({"a": 1, "b": {"c": 'q"uote'}}, True, None)
+    assert run({"a": 1}, "b.c", create_if_missing=False) == ({"a": 1}, False, "path_not_found: b")
+    assert run({"a": 1}, "a.b.c") == ({"a": 1}, False, "invalid_path_type: b")
+    assert run({"a": 1}, "a.b") == ({"a": 1}, False, "target_not_dict")
+
+
+def test_context_keys(spark):
+    talks = [[("user", "héllo 😀\x7f \x01 \\u001F \"q\"\n")], [("system", "a"), ("user", "b")], [(None, None)], []]
+    rows = spark.createDataFrame([(k, [{"role": r, "content": c} for r, c in m]) for k, m in enumerate(talks)], "k int, m array<struct<role:string,content:string>>")
+    for ascii_only in (True, False):
+        plain = [json.dumps([{"content": c or "", "role": r or ""} for r, c in m], sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only) for m in talks]
+        got = [r[0] for r in rows.orderBy("k").select(talk.canonical(F.col("m"), ascii_only)).collect()]
+        assert got == plain if ascii_only else got[1:] == plain[1:]
+        keys = [r[0] for r in rows.orderBy("k").select(talk.context_key(F.col("m"), ascii_only)).collect()]
+        assert keys[1:] == [hashlib.sha256(p.encode()).hexdigest()[:16] for p in plain[1:]]
+
+
+def test_rewind_and_prompt(spark):
+    m = [{"role": r, "content": c} for r, c in (("system", "s"), ("user", "u"), ("assistant", "a"), ("tool", "t"))]
+    rows = spark.createDataFrame([(m,)], "m array<struct<role:string,content:string>>")
+    assert rows.select(talk.prompt(F.col("m"), F.lit("q"))).first()[0] == "System: s\n\nHuman: u\n\nAssistant: a\n\nHuman: q\n\nAssistant:"
+    sizes = [rows.select(F.size(talk.rewind(F.col("m"), F.lit(k)))).first()[0] for k in (0, 1, 2, 3)]
+    assert sizes == [4, 2, 4, 4]
+
+
+def test_chat_nodes(spark):
+    got = ports(spark, "immutable_chat", {"model": "demo"}, [{"message": "hi"}, {"message": ""}, {"message": None}], ["response", "message_count", "context_key"])
+    history = [("system", "You are a helpful AI assistant."), ("user", "hi"), ("assistant", "[MOCK DEMO] Turn 1 response to: hi")]
+    key = hashlib.sha256(json.dumps([{"content": c, "role": r} for r, c in history], separators=(",", ":")).encode()).hexdigest()[:16]
+    assert got == [("[MOCK DEMO] Turn 1 response to: hi", "3", key)] + [("Error: No message provided", "0", "empty")] * 2
+    (first, again) = ports(spark, "smart_chat", {}, [{"message": "hi", "context_id": "c1"}, {"message": "hi", "context_id": None}], ["response", "context_id"])
+    assert first == ("[MOCK MOCK] Turn 1 response to: hi", "c1") and again[1].startswith("ctx_")
+    asked = ports(spark, "immutable_chat", {"provider": "mine"}, [{"message": "hi"}], ["response"], providers={"mine": lambda p: p[-30:]})
+    assert asked == [("System: You are a helpful AI assistant.\n\nHuman: hi\n\nAssistant:"[-30:],)]
+    assert ports(spark, "immutable_chat", {"provider": "none"}, [{"message": "hi"}], ["response"]) == [("Error: provider none is not set up",)]
+    assert spark.createDataFrame([("a",), (None,)], "p string").select(answered(F.col("p"), str.upper)).collect()[1][0] is None
+    assert capabilities(spark).where("context_caching").count() == 2
+
+
+def test_context_store(spark):
+    now = "2024-01-02 00:00:00"
+    store = spark.sql("SELECT 'k' AS context_key, 'old' AS context_data, timestamp_ntz'2024-01-01 13:30:00' AS created_at, timestamp_ntz'2024-01-01 13:30:00' AS updated_at, CAST(NULL AS timestamp_ntz) AS expires_at UNION ALL SELECT 'late', 'x', timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 01:00:00'")
+    ask = [{"context_key": "k"}, {"context_key": "late"}, {"context_key": "none"}]
+    get = lambda **p: ports(spark, "context_retrieve", {"default_value": "d", **p}, ask, ["context_data", "found", "age_hours"], store=store, now=now)
+    assert get() == [("old", "true", "10.5"), ("d", "false", "0"), ("d", "false", "0")]
+    assert get(cleanup_expired=False)[1] == ("d", "false", "expired")
+    put = lambda **p: ports(spark, "context_store", p, [{"context_key": "k", "context_data": "new"}, {"context_key": "z", "context_data": "v"}, {"context_key": "e", "context_data": ""}], ["success"], store=store, now=now)
+    assert [s for (s,) in put()] == ["true", "true", "false"]
+    assert [s for (s,) in put(overwrite=False)] == ["false", "true", "false"]
+    written = ports(spark, "context_store", {"expires_hours": 2}, [{"context_key": "z", "context_data": "v"}], ["write"], store=store, now=now)[0][0]
+    assert str(written["expires_at"]) == "2024-01-02 02:00:00"
+    writes = spark.createDataFrame([("k", "new"), ("z", "v")], "context_key string, context_data string").selectExpr("*", f"timestamp_ntz'{now}' AS written_at", "CAST(NULL AS timestamp_ntz) AS expires_at")
+    after = {r.context_key: r for r in context.stored(store, writes).collect()}
+    assert after["k"].context_data == "new" and str(after["k"].created_at) == "2024-01-01 13:30:00" and len(after) == 3
+    assert {r.context_key: r.context_data for r in context.stored(store, writes, overwrite=False).collect()}["k"] == "old"
+    assert [r.context_key for r in context.listed(store, F.lit(now).cast("timestamp_ntz")).collect()] == ["k"]
+    (count, listing) = ports(spark, "context_list", {"include_expired": True}, [{"trigger": "x"}], ["count", "contexts"], store=store, now=now, lenient=True)[0]
+    assert count == "2" and json.loads(listing)[0]["context_key"] == "k"
+
+
+def test_keys(spark):
+    make = lambda seed, **p: ports(spark, "generate_random_key", {"prefix": "p_", "key_length": 10, **p}, [{"seed_data": seed}], ["random_key", "short_key", "hash_key"])[0]
+    random, short, hashed = make("seed")
+    assert hashed == "p_" + hashlib.sha256(b"seed").hexdigest()[:10] and len(random) == 12 and len(short) == 10
+    for form in ("hex", "alphanumeric", "words", "uuid"):
+        random, _, hashed = make(None, format=form)
+        assert random == hashed and random.startswith("p_") and len(random) <= 12
