@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts, url_filter, url_filter_sql
+from . import bpe, decontaminate, exact_sql, html_extract, language_id, line_dedup, nearest, ngram_join, suffix_dedup, token_counts, url_filter, url_filter_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,4 +100,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter_sql.sql(URL_RULES), "op7_line_dedup": OP7_SQL.strip()}
+    return {
+        "op1_ngram_join": exact_sql.NGRAM_JOIN.strip(),
+        "op2_url_filter": url_filter_sql.sql(URL_RULES),
+        "op3_decontaminate": exact_sql.DECONTAMINATE.strip(),
+        "op7_line_dedup": OP7_SQL.strip(),
+        "op9_suffix_dedup": exact_sql.SUFFIX_DEDUP.strip(),
+    }
