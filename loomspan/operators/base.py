@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 import logging
+import os
 import pkgutil
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -118,6 +120,18 @@ class Registry(dict):
             found += [v.name for v in vars(module).values() if isinstance(v, NodeType) and self.register(v)]
         return found
 
+    def load_manifest(self, path: str) -> list[str]:
+        """Registers the node types of a plugin folder's manifest: lines ``name``, ``version`` and ``entry_point`` (a
+        Python file beside it), all required."""
+        with open(path, encoding="utf-8") as lines:
+            told = {k.strip(): v.strip().strip("\"'") for k, _, v in (x.partition(":") for x in lines) if v.strip()}
+        if missing := [k for k in ("name", "version", "entry_point") if k not in told]:
+            raise ValueError(f"plugin manifest lacks {', '.join(missing)}")
+        spec = importlib.util.spec_from_file_location(f"plugin_{told['name'].replace('-', '_')}", os.path.join(os.path.dirname(path), told["entry_point"]))
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        return [v.name for v in vars(module).values() if isinstance(v, NodeType) and self.register(v)]
+
     def specs(self, spark: SparkSession) -> DataFrame:
         rows = [(t.name, t.category, sorted(t.inputs), sorted(p for p, r in t.inputs.items() if r), list(t.outputs), {k: str(v) for k, v in t.params.items()}) for t in self.values()]
         return spark.createDataFrame(rows, "node_type string, category string, inputs array<string>, required array<string>, outputs array<string>, params map<string,string>")

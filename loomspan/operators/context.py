@@ -50,6 +50,12 @@ def listed(store: DataFrame, now: Column, part: str = "", limit: int | None = 50
     return out.orderBy("context_key").limit(limit) if limit is not None else out
 
 
+def insert_absent(known: DataFrame, new: DataFrame, key: str = "context_key") -> DataFrame:
+    """The rows of ``new`` whose key isn't known yet, one of each: immutable contexts are written once. Equal keys stand
+    for equal contents, so whichever copy is kept is the same."""
+    return new.join(known.select(key), key, "left_anti").dropDuplicates([key])
+
+
 def _store_table(call: Call) -> DataFrame:
     return call.env.get("store") if call.env.get("store") is not None else call.spark.createDataFrame([], STORE)
 

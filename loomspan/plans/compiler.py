@@ -36,7 +36,8 @@ class Engine:
 
     def run(self, graph: Graph, rows: DataFrame, keep: list[str] | None = None, on_error: str = "row") -> DataFrame:
         """``rows`` (or its columns ``keep``) with a column for each output node, named by its id: struct(result, label);
-        and ``status``, ``errors`` and ``node_status`` of the row. A failed row has null outputs. ``on_error="raise"``
+        and ``status``, ``errors`` and ``node_status`` of the row, and ``context_token``, the last one that a node made, if
+        any makes one. A failed row has null outputs. ``on_error="raise"``
         makes the job fail with the first row that does."""
         for problem in graph.problems():
             raise ValueError(problem)
@@ -51,9 +52,12 @@ class Engine:
         for k, name in enumerate(graph.order()):
             at = F.col("__failed.at")
             states += [F.lit(name), F.when(at.isNull() | (at > k), "completed").when(at == k, "failed").otherwise("pending")]
+        tokens = [made[k][p].col.cast("string") for k in reversed(graph.order()) for p in ("context_token", "context_id", "context_key") if p in made[k] and graph.nodes[k].type != "input"]
+        token = [F.when(fine, F.coalesce(*[F.nullif(t, F.lit("")) for t in tokens])).alias("context_token")] if tokens else []
         return frame.select(
             *[F.col(f"`{c}`") for c in (rows.columns if keep is None else keep)],
             *outs,
+            *token,
             F.when(fine, "completed").otherwise("failed").alias("status"),
             F.when(~fine, F.create_map(F.col("__failed.node"), F.col("__failed.message"))).alias("errors"),
             F.create_map(*states).alias("node_status"),

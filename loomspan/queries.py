@@ -360,6 +360,29 @@ def context_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upserted(spark, sf_dir, False)
 
 
+@query(
+    f"""WITH k AS (SELECT turn, substr(sha256(to_json({_SO_FAR})::varchar), 1, 16) AS context_key FROM conversations)
+    SELECT context_key, min(turn) AS turn FROM k WHERE context_key NOT IN (SELECT context_key FROM k WHERE turn % 2 = 0) GROUP BY context_key"""
+)
+def context_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the conversations' odd turns that the even turns' keys don't hold: each is written once."""
+    keys = context_prefix_key(spark, sf_dir).groupBy("context_key").agg(F.min("turn").alias("turn"), F.max((F.col("turn") % 2 == 0).cast("int")).alias("known"))
+    return context.insert_absent(keys.where("known = 1"), keys.select("context_key", "turn"))
+
+
+@query(
+    """WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
+    SELECT conv_id, '[MOCK MOCK] Turn 1 response to: ' || text AS response, substr(sha256('[{"content":"You are a helpful AI assistant.","role":"system"},{"content":' || to_json(text)::varchar || ',"role":"user"},{"content":' || to_json('[MOCK MOCK] Turn 1 response to: ' || text)::varchar || ',"role":"assistant"}]'), 1, 16) AS context_key
+    FROM t WHERE r = 1 AND text <> '' AND regexp_full_match(text, '[ -~\\n]*')"""
+)
+def context_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token that a chat graph hands on, for last messages in plain ASCII."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message")).where((F.col("message") != "") & F.col("message").rlike(r"^[ -~\n]*\z"))
+    graph = Graph.of("talk", {"m": ("input", {"label": "message"}), "chat": ("immutable_chat", {}), "r": ("output", {})}, [("m.output", "chat.message"), ("chat.response", "r.input")])
+    done = Engine().run(graph, rows, keep=["conv_id"])
+    return done.select("conv_id", F.col("r.result").alias("response"), F.col("context_token").alias("context_key"))
+
+
 @query("SELECT c_custkey, 'k_' || substr(sha256(c_name), 1, 12) AS hash_key FROM customer")
 def hash_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph.of("keys", {"in": ("input", {"label": "c_name"}), "k": ("generate_random_key", {"prefix": "k_", "key_length": 12}), "out": ("output", {})}, [("in.output", "k.seed_data"), ("k.hash_key", "out.input")])
@@ -490,6 +513,21 @@ def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    """WITH RECURSIVE level(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 2 = 1 UNION ALL SELECT p.p_partkey, l.depth + 1 FROM level l JOIN part p ON p.p_partkey = l.node * 2)
+    SELECT node, max(depth)::int AS depth FROM level GROUP BY node"""
+)
+def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every node from the start of its chain, where edges lead from a number to its double: a level a step."""
+    parts = f"parquet.`{sf_dir}/part.parquet`"
+    return spark.sql(
+        f"""WITH RECURSIVE level(node, depth) AS (
+            SELECT p_partkey, 0 FROM {parts} WHERE p_partkey % 2 = 1
+            UNION ALL SELECT p.p_partkey, l.depth + 1 FROM level l JOIN {parts} p ON p.p_partkey = l.node * 2
+        ) SELECT node, max(depth) AS depth FROM level GROUP BY node"""
+    )
+
+
 @query(
     """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
     SELECT vec_id, label FROM embeddings, q WHERE vec_id <> 0 AND label < 5 ORDER BY list_cosine_similarity(embedding::double[], e::double[]) DESC, vec_id LIMIT 10"""

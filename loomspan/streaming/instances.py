@@ -3,11 +3,12 @@ a stream, it is Structured Streaming's keyed state, and both give the same total
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -36,6 +37,66 @@ def with_previous(runs: DataFrame, key: str, order: list[str], outputs: list[str
     return runs.withColumns({f"_context_key_{c}": F.lag(c).over(before) for c in outputs})
 
 
+LOG = "instance_id string, graph string, run_count long, state map<string,string>, active boolean, version long"
+
+
+class Instances:
+    """Instances in a folder: each change appends a row, and the highest version of an id counts. Runs are recorded
+    beside them. Ids are ``gi_`` and 8 hex digits."""
+
+    def __init__(self, spark: SparkSession, folder: str, engine: Engine):
+        self.spark, self.engine = spark, engine
+        self.path, self.history = f"{folder.rstrip('/')}/instances", f"{folder.rstrip('/')}/instance_runs"
+        self._write([])
+
+    def _write(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, LOG).write.mode("append").parquet(self.path)
+
+    def list(self, graph: str | None = None) -> DataFrame:
+        rows = self.spark.read.schema(LOG).parquet(self.path).groupBy("instance_id").agg(F.max_by(F.struct("graph", "run_count", "state", "active", "version"), "version").alias("r")).select("instance_id", "r.*").where("active")
+        return rows if graph is None else rows.where(F.col("graph") == graph)
+
+    def get(self, instance: str) -> dict[str, Any]:
+        row = self.list().where(F.col("instance_id") == instance).first()
+        if row is None:
+            raise KeyError(f"Instance not found: {instance}")
+        return row.asDict()
+
+    def create(self, graph: str) -> str:
+        if graph not in self.engine.graphs:
+            raise KeyError(f"Graph not found: {graph}")
+        made = f"gi_{uuid.uuid4().hex[:8]}"
+        self._write([(made, graph, 0, {}, True, 1)])
+        return made
+
+    def execute(self, instance: str, rows: DataFrame) -> DataFrame:
+        """Runs the instance's graph on ``rows``, with the context token of the run before as input ``_context_key_last``;
+        the results are recorded, and returned as recorded."""
+        now = self.get(instance)
+        given = rows.withColumn("_context_key_last", F.lit(now["state"].get("context_token")).cast("string"))
+        run = str(uuid.uuid4())
+        done = self.engine.run(self.engine.graphs[now["graph"]], given).withColumns({"instance_id": F.lit(instance), "run_id": F.lit(run)})
+        done.select("instance_id", "run_id", F.to_json(F.struct(*done.columns)).alias("body")).write.mode("append").parquet(self.history)
+        recorded = self.runs(instance).where(F.col("run_id") == run)
+        token = recorded.select(F.max(F.get_json_object("body", "$.context_token"))).first()[0]
+        state = now["state"] | ({"context_token": token} if token else {})
+        self._write([(instance, now["graph"], now["run_count"] + 1, state, True, now["version"] + 1)])
+        return recorded
+
+    def runs(self, instance: str) -> DataFrame:
+        return self.spark.read.parquet(self.history).where(F.col("instance_id") == instance)
+
+    def reset(self, instance: str, keys: list[str] | None = None) -> None:
+        """Clears the state, or some of its keys."""
+        now = self.get(instance)
+        state = {} if keys is None else {k: v for k, v in now["state"].items() if k not in keys}
+        self._write([(instance, now["graph"], now["run_count"], state, True, now["version"] + 1)])
+
+    def delete(self, instance: str) -> None:
+        now = self.get(instance)
+        self._write([(instance, now["graph"], now["run_count"], now["state"], False, now["version"] + 1)])
+
+
 class RunState(StatefulProcessor):
     """Counts runs and keeps the last item; a null command is a run, ``reset`` clears the state."""
 

@@ -11,6 +11,7 @@ from loomspan.plans.compiler import Engine
 from loomspan.plans.graph import Edge, Graph, Node
 from loomspan.queries import shout
 from loomspan.sources.catalog import Catalog
+from loomspan.streaming.instances import Instances
 
 
 def upper():
@@ -138,3 +139,41 @@ def test_registry(spark):
     auto = Registry([*BUILT_IN.values(), AUTO_PROCESSOR])
     g = Graph.of("g", {"i": ("input", {"value": "a b"}), "p": ("example_processor", {}), "f": ("simple_text_processor", {}), "o": ("output", {})}, [("i.output", "p.input"), ("p.count_string", "f.text"), ("f.result", "o.input")])
     assert one(spark, g, Engine(registry=auto))["o"]["result"] == "2 words !!!"
+
+
+def test_context_token(spark):
+    g = Graph.of("t", {"m": ("input", {"value": "hi"}), "c": ("immutable_chat", {}), "s": ("smart_chat", {}), "o": ("output", {})}, [("m.output", "c.message"), ("m.output", "s.message"), ("c.response", "o.input")])
+    row = one(spark, g)
+    assert row["context_token"].startswith("ctx_")  # the later node's
+    assert "context_token" not in one(spark, upper()).asDict()
+
+
+def test_manifests(spark, tmp_path):
+    (tmp_path / "mine.py").write_text("from loomspan.operators import Built, NodeType, Value\nTWICE = NodeType('twice', 'Mine', {'text': True}, ('result',), lambda c: Built({'result': Value(__import__('pyspark').sql.functions.repeat(c.get('text').col, __import__('pyspark').sql.functions.lit(2)))}))\n")
+    (tmp_path / "plugin.yaml").write_text('name: my-plugin\nversion: "1.0"\nentry_point: mine.py\n')
+    registry = Registry(BUILT_IN.values())
+    assert registry.load_manifest(f"{tmp_path}/plugin.yaml") == ["twice"]
+    g = Graph.of("g", {"i": ("input", {"value": "ab"}), "t": ("twice", {}), "o": ("output", {})}, [("i.output", "t.text"), ("t.result", "o.input")])
+    assert one(spark, g, Engine(registry=registry))["o"]["result"] == "abab"
+    (tmp_path / "plugin.yaml").write_text("name: x\n")
+    with pytest.raises(ValueError, match="version, entry_point"):
+        registry.load_manifest(f"{tmp_path}/plugin.yaml")
+
+
+def test_instances(spark, tmp_path):
+    chat = Graph.of("chat", {"m": ("input", {"label": "text"}), "b": ("input", {"label": "_context_key_last", "value": "none"}), "c": ("immutable_chat", {}), "o": ("output", {}), "p": ("output", {})}, [("m.output", "c.message"), ("c.response", "o.input"), ("b.output", "p.input")])
+    instances = Instances(spark, str(tmp_path), Engine(graphs={"chat": chat}))
+    made = instances.create("chat")
+    assert made.startswith("gi_") and len(made) == 11
+    rows = spark.createDataFrame([("hi",)], "text string")
+    first = json.loads(instances.execute(made, rows).first()["body"])
+    second = json.loads(instances.execute(made, rows).first()["body"])
+    assert first["p"]["result"] == "none" and second["p"]["result"] == first["context_token"]
+    assert instances.get(made)["run_count"] == 2 and instances.runs(made).count() == 2 and instances.list("chat").count() == 1
+    instances.reset(made)
+    assert instances.get(made)["state"] == {}
+    instances.delete(made)
+    with pytest.raises(KeyError):
+        instances.get(made)
+    with pytest.raises(KeyError):
+        instances.create("none")
