@@ -2,9 +2,9 @@
 
 A window of 50 bytes is named by its anchor: of the 24-byte grams in it, the one whose hash is least (the leftmost of
 equals). Equal windows have equal anchors, so windows can be brought together by anchor, in buckets, and no two that are
-equal are ever apart. Consecutive windows of one anchor form a context. Contexts whose anchor no other document has are
-done; a context that equals one of a smaller document goes whole; what is left is sent as bytes to its bucket, where the
-windows are sorted as suffixes (``suffix_sort``: block by block, with a difference cover) and runs of equal windows find
+equal are ever apart. Consecutive windows of one anchor form a context. A window has 13 bytes or more beside its anchor on one side, so a context whose
+anchor with these, left or right, no other document has is done; a context that equals one of a smaller document goes
+whole; what is left is sent as bytes to its bucket, where the windows are sorted as suffixes (``suffix_sort``: block by block, with a difference cover) and runs of equal windows find
 their smallest document."""
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from . import suffix_sort
 WINDOW = suffix_sort.DEPTH
 GRAM = 24
 GRAMS = WINDOW - GRAM + 1
+BESIDE = (WINDOW - GRAM) // 2
 
-#: Bytes of text that are handled together (a chunk, expected), and for which there is one bucket.
-CHUNK, BUCKET = 4 << 20, 8 << 20
+#: Bytes of text that are handled together (a chunk, expected), and for which there is one bucket; parts of a bucket whose
+#: bytes are sorted apart.
+CHUNK, BUCKET, PARTS = 4 << 20, 4 << 20, 4
 
 #: An anchor with this many different contexts in one chunk is a common phrase: its windows are dealt out one by one.
 COMMON = 64
@@ -44,9 +46,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def contexts(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """The contexts of documents that lie one after another in ``text`` and end at ``ends``: first and last window start,
-    hash of the anchor, hash of the context's bytes. Every window inside a document is in one context."""
+    hash of the anchor, hash of the context's bytes, short hashes of the bytes left and right of the anchor (0 where no
+    window of the context has as many). Every window inside a document is in one context."""
     total, padded = len(text), text + bytes(256)
     parts: list[tuple[np.ndarray, ...]] = []
     for at in range(0, max(0, total - WINDOW + 1), _STRETCH):
@@ -89,10 +92,14 @@ def contexts(text: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         s0, s1, p = start[first], stop[np.append(first[1:], len(start)) - 1] - 1, anchor[first]
         tail = s1 + WINDOW - GRAM
         c = h[s0] * _M1 + h[np.minimum(s0 + GRAM, tail)] * _M2 + h[np.minimum(s0 + 2 * GRAM, tail)] * _M3
-        parts.append((s0 + at, s1 + at, h[p], _mixed(_mixed(c + (s1 - s0).astype(np.uint64)) + h[tail])))
+        beside = []
+        for fits, b in ((p - s0 >= BESIDE, np.maximum(p - BESIDE, 0)), (s1 + WINDOW - p - GRAM >= BESIDE, p + GRAM)):
+            short = (_mixed(x[b] * _M1 + x[b + BESIDE - 8] * _M2) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+            beside.append(np.where(fits, short, np.uint16(0)))
+        parts.append((s0 + at, s1 + at, h[p], _mixed(_mixed(c + (s1 - s0).astype(np.uint64)) + h[tail]), *beside))
     if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return tuple(np.concatenate([x[i] for x in parts]) for i in range(4))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint16, np.uint16))
+    return tuple(np.concatenate([x[i] for x in parts]) for i in range(6))
 
 
 class _Chunk:
@@ -104,13 +111,13 @@ class _Chunk:
         self.text, self.ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
         if not sort:
             return
-        s0, s1, anchor, whole = contexts(self.text, self.ends)
+        s0, s1, anchor, whole, left, right = contexts(self.text, self.ends)
         doc = np.searchsorted(self.ends, s0, "right")
         self.n_buckets = n_buckets
         bucket = ((anchor >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
-        anchor, whole = anchor & np.uint64((1 << 40) - 1), whole % _COMMON_MARK
+        anchor, whole = anchor & np.uint64((1 << 32) - 1), whole % _COMMON_MARK
         order = np.lexsort((doc, whole, anchor, bucket))  # doc is in order of id
-        self.s0, self.s1, self.doc, self.bucket, self.anchor, self.whole = (x[order] for x in (s0, s1, doc, bucket, anchor, whole))
+        self.s0, self.s1, self.doc, self.bucket, self.anchor, self.whole, self.left, self.right = (x[order] for x in (s0, s1, doc, bucket, anchor, whole, left, right))
         n = len(order)
         same_anchor, same = np.zeros(n, bool), np.zeros(n, bool)
         same_anchor[1:] = (self.anchor[1:] == self.anchor[:-1]) & (self.bucket[1:] == self.bucket[:-1])
@@ -136,14 +143,14 @@ class _Chunk:
         for k in np.unique(b):
             part = slice(bounds[k], bounds[k + 1])
             docs, at = np.unique(self.doc[a[part]], return_inverse=True)
-            rows.append((int(k), self.ids[docs].tobytes(), at.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), self.anchor[a[part]].astype(np.uint32).tobytes(), (self.anchor[a[part]] >> np.uint64(32)).astype(np.uint8).tobytes(), whole[part].astype(np.uint32).tobytes(), (whole[part] >> np.uint64(32)).astype(np.uint16).tobytes()))
-        return pd.DataFrame(rows, columns=["bucket", "ids", "doc", "a4", "a1", "w4", "w2"])
+            rows.append((int(k), self.ids[docs].tobytes(), at.astype(np.uint16 if len(docs) < 65536 else np.uint32).tobytes(), self.anchor[a[part]].astype(np.uint32).tobytes(), whole[part].astype(np.uint32).tobytes(), (whole[part] >> np.uint64(32)).astype(np.uint16).tobytes(), self.left[a[part]].tobytes(), self.right[a[part]].tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "ids", "doc", "a4", "w4", "w2", "left", "right"])
 
 
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """For a bucket: 0, no smaller document has it; 1, goes whole; 2, send the bytes; 3, send window by window."""
     size = [len(x) // 4 for x in rows["a4"]]
-    anchor = np.frombuffer(b"".join(rows["a4"]), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(rows["a1"]), np.uint8).astype(np.uint64) << np.uint64(32)
+    anchor = np.frombuffer(b"".join(rows["a4"]), np.uint32)
     whole = np.frombuffer(b"".join(rows["w4"]), np.uint32).astype(np.uint64) | np.frombuffer(b"".join(rows["w2"]), np.uint16).astype(np.uint64) << np.uint64(32)
     doc = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint16 if len(d) < 4 * n else np.uint32)] for i, d, n in zip(rows["ids"], rows["doc"], size, strict=True)])
     order = np.lexsort((doc, whole, anchor))
@@ -153,11 +160,17 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     new_w[1:] = new_a[1:] | (w[1:] != w[:-1])
     ga, gw = np.cumsum(new_a) - 1, np.cumsum(new_w) - 1
     at_a, at_w = np.flatnonzero(new_a), np.flatnonzero(new_w)
-    alone = np.minimum.reduceat(d, at_a) == np.maximum.reduceat(d, at_a)
     common = np.logical_or.reduceat(w == _COMMON_MARK, at_a)
     varied = np.bincount(ga[at_w]) > 1
     answer = np.where(d > d[at_w][gw], 1, np.where(varied[ga], 2, 0))
-    answer = np.where(common[ga], 3, np.where(alone[ga], 0, answer)).astype(np.uint8)
+    shared = np.zeros(len(a), bool)
+    for side in ("left", "right"):
+        key = a.astype(np.uint64) << np.uint64(16) | np.frombuffer(b"".join(rows[side]), np.uint16)[order]
+        by = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.append(True, key[by[1:]] != key[by[:-1]]))
+        least, most = np.minimum.reduceat(d[by], start), np.maximum.reduceat(d[by], start)
+        shared[by] |= np.repeat(least < most, np.diff(np.append(start, len(by)))) & (key[by] & np.uint64(0xFFFF) > 0)
+    answer = np.where(common[ga], 3, np.where((answer == 2) & ~shared, 0, answer)).astype(np.uint8)
     out = np.empty(len(answer), np.uint8)
     out[order] = answer
     return pd.DataFrame([(c, b, zlib.compress(x.tobytes(), 1)) for c, b, x in zip(rows["chunk"], rows["bucket"], np.split(out, np.cumsum(size)[:-1]), strict=True)], columns=["chunk", "bucket", "answer"])
@@ -187,7 +200,7 @@ def _work(chunk: _Chunk, number: int, answers: pd.DataFrame) -> pd.DataFrame:
     gone = (told == 1) | chunk.repeated
     spans_a, spans_b = [chunk.s0[gone]], [chunk.s1[gone] + WINDOW]
     send = ~gone & (told == 2)
-    at, last, key = chunk.s0[send], chunk.s1[send], chunk.bucket[send]
+    at, last, key = chunk.s0[send], chunk.s1[send], chunk.bucket[send] * PARTS + (chunk.anchor[send] % np.uint64(PARTS)).astype(np.int64)
     one = ~gone & (told == 3)
     if one.any():  # windows one by one, in buckets of their own hash; repeats within the chunk are settled here
         n = chunk.s1[one] - chunk.s0[one] + 1
@@ -204,7 +217,7 @@ def _work(chunk: _Chunk, number: int, answers: pd.DataFrame) -> pd.DataFrame:
         repeat = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         spans_a, spans_b = [*spans_a, w[repeat]], [*spans_b, w[repeat] + WINDOW]
         at, last = np.concatenate([at, w[~repeat]]), np.concatenate([last, w[~repeat]])
-        key = np.concatenate([key, ((h[~repeat] >> np.uint64(40)) * np.uint64(chunk.n_buckets) >> np.uint64(24)).astype(np.int64)])
+        key = np.concatenate([key, ((h[~repeat] >> np.uint64(40)) * np.uint64(chunk.n_buckets * PARTS) >> np.uint64(24)).astype(np.int64)])
     a, b = _joined_spans(np.concatenate(spans_a), np.concatenate(spans_b))
     rows = [(0, number, number, a.tobytes(), b.tobytes(), b"", b"")] if len(a) else []
     order = np.argsort(key, kind="stable")
@@ -302,7 +315,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         made["doc_id"] = made["doc_id"].astype("Int64")
         return made
 
-    asked = rows.groupBy("chunk").applyInPandas(ask, "chunk long, bucket int, ids binary, doc binary, a4 binary, a1 binary, w4 binary, w2 binary")
+    asked = rows.groupBy("chunk").applyInPandas(ask, "chunk long, bucket int, ids binary, doc binary, a4 binary, w4 binary, w2 binary, left binary, right binary")
     answered = asked.groupBy("bucket").applyInPandas(_answers, "chunk long, bucket int, answer binary")
     worked = rows.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(work, _WORK)
     spans = worked.groupBy("kind", "key").applyInPandas(_sorted_out, "chunk long, a binary, b binary")
