@@ -74,16 +74,18 @@ def blocks(page: str | None) -> tuple[list[Block], list[tuple[int, str]], list[s
             if text:
                 runs.append((open_[-1][1], text))
 
+    def leave(k: int) -> None:
+        nonlocal links
+        while len(open_) > k:
+            links -= open_.pop()[0] == "a"
+
     def close(names: tuple[str, ...], past: tuple[str, ...]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            tag = open_[k][0]
-            if tag in names:
+        k = len(open_) - 1
+        while k > 0 and open_[k][0] not in past:
+            if open_[k][0] in names:
                 flush()
-                del open_[k:]
-                return close(names, past)
-            if tag in past:
-                return None
-        return None
+                leave(k)
+            k -= 1
 
     match = _TOKEN.match
     while at < size and (m := match(page, at)) is not None:
@@ -106,11 +108,10 @@ def blocks(page: str | None) -> tuple[list[Block], list[tuple[int, str]], list[s
                 if open_[k][0] == tag:
                     if not inline:
                         flush()
-                    del open_[k:]
+                    leave(k)
                     break
                 if inline and open_[k][0] not in INLINE:
                     break  # an inline end doesn't close a block
-            links = sum(1 for t, _ in open_ if t == "a")
             continue
         raw = (m[3] if m[2] else m[6]) or ""
         if tag in RAW:
@@ -122,9 +123,8 @@ def blocks(page: str | None) -> tuple[list[Block], list[tuple[int, str]], list[s
             held.append(" ")
             continue
         if tag in INLINE:
-            if tag == "a":
-                links += 1
             if tag not in VOID:
+                links += tag == "a"
                 open_.append((tag, open_[-1][1]))
             continue
         flush()
@@ -135,8 +135,7 @@ def blocks(page: str | None) -> tuple[list[Block], list[tuple[int, str]], list[s
         if tag in VOID:
             continue
         while open_[-1][0] in INLINE:  # an inline element that is left open doesn't reach into the next block
-            open_.pop()
-        links = sum(1 for t, _ in open_ if t == "a")
+            leave(len(open_) - 1)
         marks, label = marks_of(raw) if raw.strip() else ("", None)
         nodes.append(Block(tag, marks, open_[-1][1]))
         labels.append(label)

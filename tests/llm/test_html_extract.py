@@ -68,3 +68,9 @@ def test_odd_rows(spark, model):
     got = html_extract.extracted(df, model).collect()
     assert sorted((r.page_id, r.n_chars) for r in got) == [(1, 0), (2, 0), (3, 0), (3, 0), (4, 249_999)]
     assert html_extract.extracted(df.limit(0), model).count() == 0
+
+
+def test_a_table_without_pages_still_gives_a_model(spark):
+    for rows in ([], [(None, "<p>x</p>"), (1, None), (2, "<article><p>a</p></article>"), (2, "<article><p>a</p></article>")]):
+        learned = html_extract.fit_on(spark.createDataFrame(rows, "page_id long, html string"))
+        assert html_extract.main_text("<nav><a>menu</a></nav><article><p>Words that are read, one after another.</p></article>", learned) == "Words that are read, one after another."
