@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a table that may be broadcast after its rows were counted; 64 bytes a row keep it near 32 MB.
-BROADCAST_ROWS = 500_000
+#: Rows of a table that may be broadcast after its rows were counted; at 64 bytes a row it takes some 6 MB.
+BROADCAST_ROWS = 100_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -41,6 +41,15 @@ def _clear() -> None:
             return
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands rows to Python in batches of 2,000 rows and 8 MB at most: a worker's memory
+    then doesn't grow with the length of texts."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have (names compare without case)."""
     taken = {c.lower() for c in df.columns}

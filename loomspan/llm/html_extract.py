@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import bounded_batches, without
 from .html_tree import blocks
 
 #: Pages of the (bounded) sample from which training pages are made.
@@ -118,6 +118,8 @@ def training_pages(pages: list[str]) -> list[str]:
         if len(found) > 1:
             texts.append(found)
     out = []
+    if len(texts) < 2:  # nothing to learn layouts with: any words will do
+        texts = [["A plain heading", *[f"Some plain words of paragraph {n}, which go on for a while, as words do." * (n % 3 + 1) for n in range(6)]]] * 2
     for k, own in enumerate(texts):
         other = texts[(k + 1) % len(texts)]
         links = "".join(f'<li><a href="/x">{w}</a></li>' for w in other[0].split()[:5])
@@ -180,8 +182,10 @@ def fit(labelled: list[str], rounds: int = 15) -> Model:
 
 def fit_on(pages: DataFrame, html: str = "html", order: str = "page_id", most: int = TRAINING_PAGES) -> Model:
     """A model trained on layouts that are filled from at most ``most`` pages, those whose ``order`` has the least hash."""
-    drawn = pages.where(F.col(html).isNotNull()).select(F.xxhash64(order).alias("h"), F.col(html).alias("html")).orderBy("h", "html").limit(most).collect()
-    return fit(training_pages([r["html"] for r in drawn]))
+    named = pages.where(F.col(html).isNotNull() & F.col(order).isNotNull()).select(F.col(order).alias("page"), F.col(html).alias("html"))
+    drawn = named.select("page").distinct().orderBy(F.xxhash64("page"), "page").limit(most)  # names alone are sorted
+    found = named.join(F.broadcast(drawn), "page", "left_semi").groupBy("page").agg(F.min("html").alias("html"))
+    return fit(training_pages([r["html"] for r in found.orderBy("page").collect()]))
 
 
 def main_text(page: str | None, model: Model) -> str:
@@ -211,5 +215,5 @@ def extracted(pages: DataFrame, model: Model, html: str = "html") -> DataFrame:
     name = "main_text"
     while name in pages.columns:
         name += "_"
-    out = pages.withColumn(name, text(F.col(html)))
+    out = bounded_batches(pages).withColumn(name, text(F.col(html)))
     return out.select(*without(pages, "text", "n_chars"), F.col(name).alias("text"), F.length(name).cast("long").alias("n_chars"))
