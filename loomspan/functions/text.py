@@ -20,10 +20,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, _SPACE_RUN, -1), lambda w: w != "")
 
 
+def word_count(text: Column) -> Column:
+    """``len(str.split())``, without looking at the words one by one."""
+    bare = strip(text)
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, _SPACE_RUN, -1)))
+
+
+#: Set before every run of cased letters while a text is title-cased; a noncharacter, which texts don't hold.
+_MARK = "\ufdd0 "
+_CASED = r"[\p{IsLowercase}\p{IsUppercase}\p{Lt}]"
+
+
 def title(text: Column) -> Column:
-    """``str.title()``: in every run of cased letters the first is upper and the rest lower case."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{IsLowercase}\p{IsUppercase}\p{Lt}]+|[^\p{IsLowercase}\p{IsUppercase}\p{Lt}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """``str.title()``: in every run of cased letters the first is upper and the rest lower case. ``initcap`` does that
+    after spaces, so every run gets one for a moment."""
+    marked = F.regexp_replace(F.lower(text), f"(?<!{_CASED})(?={_CASED})", _MARK)
+    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
 
 
 def number(text: Column) -> Column:

@@ -12,7 +12,7 @@ def _processor(call: Call) -> Built:
     text, error = call.get("text").plain_text("example_processor")
     operation, prefix = call.params.get("operation", "word_count"), str(call.params.get("prefix", ""))
     words = texts.words(text)
-    counted = {"word_count": ("Word count: ", F.size(words)), "char_count": ("Character count: ", F.length(text))}
+    counted = {"word_count": ("Word count: ", texts.word_count(text)), "char_count": ("Character count: ", F.length(text))}
     if operation in counted:
         said, count = counted[operation]
         processed = F.concat(F.lit(prefix + said), count.cast("string"))
@@ -28,7 +28,7 @@ def _processor(call: Call) -> Built:
 def _auto_processor(call: Call) -> Built:
     text, error = call.get("input").plain_text("example_processor")
     kind = call.params.get("processing_type", "word_count")
-    n = {"word_count": F.size(texts.words(text)), "char_count": F.length(text), "reverse": F.length(text)}.get(kind, F.lit(0)).cast("string")
+    n = {"word_count": texts.word_count(text), "char_count": F.length(text), "reverse": F.length(text)}.get(kind, F.lit(0)).cast("string")
     processed = {"word_count": F.concat(F.lit("Words: "), n), "char_count": F.concat(F.lit("Characters: "), n), "reverse": F.reverse(text)}.get(kind, text)
     said = {"char_count": F.concat(n, F.lit(" characters")), "reverse": F.concat(F.lit("Reversed "), n, F.lit(" characters"))}.get(kind, F.concat(n, F.lit(" words")))
     return Built({"processed": Value(processed), "count_string": Value(said)}, error)

@@ -36,6 +36,7 @@ def test_text_transform(spark, operation, python):
 def test_words_and_spaces(spark):
     rows = spark.createDataFrame([(t,) for t in [*SAMPLES, texts.SPACES, f"a{texts.SPACES}b"]], "t string")
     assert [r[0] for r in rows.select(texts.words(F.col("t"))).collect()] == [t.split() for t in [*SAMPLES, texts.SPACES, f"a{texts.SPACES}b"]]
+    assert [r[0] for r in rows.select(texts.word_count(F.col("t"))).collect()] == [len(t.split()) for t in [*SAMPLES, texts.SPACES, f"a{texts.SPACES}b"]]
     assert all(c.isspace() for c in texts.SPACES) and len(texts.SPACES) == 29
 
 
