@@ -19,10 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import bounded_batches, without
 
-#: Distinct pre-tokens of up to LONGEST_KEPT characters whose encoding a worker keeps; the store starts anew beyond.
-KEPT, LONGEST_KEPT = 500_000, 48
+#: Distinct pre-tokens of up to LONGEST_KEPT characters whose encoding a worker keeps: when the newer half is full, it
+#: becomes the older one, from which pre-tokens that turn up again are taken over.
+KEPT, LONGEST_KEPT = 250_000, 48
 
 #: Pre-tokens that are looked at together, and bytes of new ones that go through the queue in one run.
 TOGETHER, RUN = 400_000, 1 << 18
@@ -81,6 +82,7 @@ class BytePairs:
                 self.first[b[0], b[1]] = i
         self.queue = RankQueue(self.n_ranks)  # empty again after each run
         self.kept: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each of some pre-tokens (none is empty), by one run of the queue."""
@@ -180,14 +182,19 @@ class BytePairs:
         ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
         for tokens, over in self._groups(texts):
             flat = {t for part in tokens for t in part}
-            new = [t for t in flat if t not in self.kept]
-            if len(self.kept) + len(new) > KEPT:
-                self.kept.clear()
-                new = list(flat)
-            self._learn([t for t in new if len(t) <= LONGEST_KEPT], self.kept)
+            if len(self.kept) >= KEPT // 2:
+                self.kept, self.older = {}, self.kept
+            kept, older, new = self.kept, self.older, []
+            for t in flat:
+                if t not in kept:
+                    if (found := older.get(t)) is not None:
+                        kept[t] = found
+                    else:
+                        new.append(t)
+            self._learn([t for t in new if len(t) <= LONGEST_KEPT], kept)
             long: dict[str, tuple[str, int, bytes]] = {}
             self._learn([t for t in new if len(t) > LONGEST_KEPT], long)
-            known = self.kept | long if long else self.kept
+            known = kept | long if long else kept
             for k, part in enumerate(tokens):
                 if part:
                     each = [known[t] for t in part]
@@ -238,7 +245,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
         code = byte_pairs(path, pattern)
         return texts.map(lambda t: code.encode(t or ""))
 
-    return docs.select(*without(docs, "ids"), ids(F.col(text)).alias("ids"))
+    return bounded_batches(docs).select(*without(docs, "ids"), ids(F.col(text)).alias("ids"))
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -249,7 +256,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") ->
         code = byte_pairs(path, pattern)
         return each.map(lambda x: b"" if x is None else code.decode(x))
 
-    return encoded.select(*without(encoded, "decoded"), decoded(F.col(ids)).alias("decoded"))
+    return bounded_batches(encoded).select(*without(encoded, "decoded"), decoded(F.col(ids)).alias("decoded"))
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -265,12 +272,15 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         code = byte_pairs(path, pattern)
-        for texts in batches:
-            yield pd.DataFrame(list(code.digests([t or "" for t in texts])), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                yield pd.DataFrame(list(code.digests([t or "" for t in texts])), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # a worker that waits for its next task holds no store
+            code.kept, code.older = {}, {}
 
     outs = ("n_tokens", "ids_sha256", "decoded_sha256")
     made = digests(F.col(text))
     name = "digests"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, made).select(*without(docs, *outs), *(F.col(name)[c].alias(c) for c in outs))
+    return bounded_batches(docs).withColumn(name, made).select(*without(docs, *outs), *(F.col(name)[c].alias(c) for c in outs))

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import bounded_batches, without
 
 #: n-grams of a profile, and training texts for each language that are expected in the (bounded) training sample.
 TOP, TEXTS_PER_LANGUAGE = 400, 2_000
@@ -50,7 +50,7 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", to
     same on every run and its size does not grow with the table. Counting runs in Spark; what reaches the driver is
     ``top`` n-grams for each language. Rows with a null label or no letter add nothing.
     """
-    rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(text) if order is None else order), F.lit(1_000_000)).alias("at"))
+    rows = bounded_batches(labelled).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(text) if order is None else order), F.lit(1_000_000)).alias("at"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
@@ -113,4 +113,4 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], text: str
     name = "language"
     while name in docs.columns:
         name += "_"
-    return docs.withColumn(name, best(F.col(text))).select(*without(docs, "lang_pred", "score"), F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))
+    return bounded_batches(docs).withColumn(name, best(F.col(text))).select(*without(docs, "lang_pred", "score"), F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))

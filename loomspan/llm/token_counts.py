@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, without
+from .common import bounded_batches, fresh, without
 
 #: Rules for a token that crosses a boundary: whole to the section of its first or last byte, whole to the section that
 #: has most of its bytes (the earlier of equals), or shared out by bytes.
@@ -100,5 +100,5 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", s
     outs = ("section", "start_char", "end_char", "n_tokens")
     x = fresh(docs, "x")
     kept = [c for c in docs.columns if c.lower() not in {*outs, text.lower()}]
-    made = docs.select(*without(docs, *outs, text), F.explode(counted(F.col(text))).alias(x))
+    made = bounded_batches(docs).select(*without(docs, *outs, text), F.explode(counted(F.col(text))).alias(x))
     return made.select(*without(made, x) if kept else [], *(F.col(x)[c].alias(c) for c in outs))
