@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, small_enough, written
+from .common import bounded_batches, fresh, small_enough, written
 from .stars import components
 
 #: MinHash values of a text (one byte each), values of a band, bands: a pair at similarity 0.8 shares none of the bands
@@ -26,7 +26,7 @@ VALUES, ROWS, BANDS = 128, 4, 24
 STEP, TOLERANCE = 32, 1e-6
 
 #: Texts of one block. A bucket of more texts is split into blocks, and each pair of blocks is a piece of work.
-BLOCK = 512
+BLOCK = 256
 
 _MULTIPLY, _ADD = (np.random.default_rng(20240229).integers(1, 2**32, (2, VALUES), dtype=np.uint64) | 1).astype(np.uint32)
 _WORDS: dict[str, int] = {}
@@ -38,7 +38,7 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     get, ids = _WORDS.get, []
     for w in words:
@@ -175,7 +175,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str
     """Two tables on distinct texts (named by ``t``, the MD5 of the text): ``t``, ``first_id``, ``copies`` of every text;
     and ``t``, ``links``, ``near`` of pieces of work: how many rows of other texts link to it there, and a text of its
     component there. Nothing is returned by pair: a group of g near copies makes rows in proportion to g."""
-    named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("t"))
+    named = bounded_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("t"))
 
     @F.pandas_udf("binary")
     def signed(texts: pd.Series) -> pd.Series:
@@ -241,14 +241,14 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str
     """
     classes, links = ngram_links(docs, n, threshold, doc_id, text)
     edges = links.select(F.col("t").alias("u"), F.col("near").alias("v"))
-    rooted = written(components(edges))
+    rooted = components(edges)  # read from the table of its last round
     ids = rooted.join(classes.select(F.col("t").alias("node"), "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
     summed = links.groupBy("t").agg(F.sum("links").alias("links"))
     known = rooted.join(ids, "root").select(F.col("node").alias("t"), "class_id").join(summed, "t", "left")
     result = classes.where(F.col("sig").isNotNull()).join(known, "t", "left").select(F.col("t").alias("ngram_t"), F.coalesce("class_id", "first_id").alias("ngram_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("ngram_links"))
-    result = sized(written(result))
     keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("class_id", "n_links")]
-    joined = docs.join(result, F.unhex(F.md5(F.col(text))) == F.col("ngram_t"), "left")
+    key = fresh(docs, "text_key")  # a column of its own, so that the text itself isn't shuffled unless it is asked for
+    joined = docs.withColumn(key, F.unhex(F.md5(F.col(text)))).join(result, F.col(key) == F.col("ngram_t"), "left")
     own = F.when(F.col("ngram_t").isNull(), F.col(doc_id)).otherwise(F.col("ngram_class"))
     return joined.select(*keep, own.alias("class_id"), F.coalesce("ngram_links", F.lit(0)).cast("long").alias("n_links"))
 
