@@ -114,6 +114,7 @@ class _Chunk:
         s0, s1, anchor, whole, left, right = contexts(self.text, self.ends)
         doc = np.searchsorted(self.ends, s0, "right")
         self.n_buckets = n_buckets
+        anchor = _mixed(anchor * _M2)  # anchors are least hashes: mixed again, they are even
         bucket = ((anchor >> np.uint64(40)) * np.uint64(n_buckets) >> np.uint64(24)).astype(np.int64)
         anchor, whole = anchor & np.uint64((1 << 32) - 1), whole % _COMMON_MARK
         order = np.lexsort((doc, whole, anchor, bucket))  # doc is in order of id
