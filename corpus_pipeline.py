@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, decontaminate, language_id, line_dedup, ngram_join
-from loomspan.llm.common import fresh, written
+from loomspan.llm.common import fresh, sized, written
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +25,22 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7. Lines found in 10 documents or more go; ``text`` and ``n_chars`` are what is left. A document all of
-    whose lines go has nothing left and goes too."""
-    judged = line_dedup.line_keep_runs(docs, min_docs=10, min_chars=1)
-    name = fresh(judged, "left")
-    left = judged.withColumn(name, line_dedup.kept_text(F.col("text"), F.col("keep_runs"))).where(F.col("n_dropped") < F.col("n_lines"))
-    rest = {"text": F.col(name).alias("text"), "n_chars": F.length(name).cast("long").alias("n_chars")}
-    return left.select(*[rest.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    """Operator 7. Lines found in 10 documents or more go; ``text`` and ``n_chars`` are what is left. Where nothing but
+    blank lines would be left, the first document by id of each such text keeps it whole, so that the join sees one copy;
+    of the others, those all of whose lines go have nothing left and go too."""
+    judged = written(line_dedup.line_keep_runs(docs, min_docs=10, min_chars=1))
+    left, key, first = fresh(judged, "left"), fresh(judged, "text_key"), fresh(judged, "first_id")
+    judged = judged.withColumn(left, line_dedup.kept_text(F.col("text"), F.col("keep_runs")))
+    bare = (F.col("n_dropped") > 0) & (F.btrim(F.col(left), F.lit(line_dedup.STRIPPED)) == "")
+    emptied = judged.where(bare).withColumn(key, F.md5("text"))
+    firsts = sized(written(emptied.groupBy(key).agg(F.min("doc_id").alias(first))))
+    firsts = firsts.withColumnRenamed(key, f"{key}_")
+    known = F.col(f"{key}_").isNotNull()
+    held = emptied.join(firsts, (F.col(key) == F.col(f"{key}_")) & F.col("doc_id").eqNullSafe(F.col(first)), "left")
+    held = held.where(known | (F.col("n_dropped") < F.col("n_lines"))).withColumn(left, F.when(known, F.col("text")).otherwise(F.col(left)))
+    rest = {"text": F.col(left).alias("text"), "n_chars": F.length(left).cast("long").alias("n_chars")}
+    both = judged.where(~bare).unionByName(held.select(*[F.col(f"`{c}`") for c in judged.columns]))
+    return both.select(*[rest.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,13 @@ def test_all_but_the_last_return_the_columns_of_documents(spark):
         assert stage(spark, docs, DATA).columns == docs.columns
         assert stage(spark, docs, DATA).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() == 0
+
+
+def test_one_copy_of_each_text_is_left_by_the_line_stage(spark):
+    """Texts that ten documents or more hold line by line, with and without a blank line, in the same lines by turns."""
+    texts = ["Alpha one\nBeta two", "Beta two\n\nAlpha one", "Alpha one\nBeta two\nits own line"]
+    rows = [(100 - k, texts[k % 2], "en", "x", len(texts[k % 2])) for k in range(24)] + [(7, texts[2], "en", "x", 1), (8, "seldom", "en", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, DATA).collect()}
+    assert {i: t for i, t in got.items() if t[0].strip()} == {i: (t, len(t)) for i, t in ((7, "its own line"), (8, "seldom"), (77, texts[1]), (78, texts[0]))}
+    assert not {100 - k for k in range(0, 22, 2)} & set(got)
