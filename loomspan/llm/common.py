@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, written  # noqa: F401
+
 #: Rows of a table that may be broadcast after its rows were counted; at 64 bytes a row it takes some 6 MB.
 BROADCAST_ROWS = 100_000
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under /tmp where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else f"/tmp/loomspan-shared/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: later steps start from the files, not from
-    the lineage, so a lost executor costs only its own tasks. The folder goes when the program ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomspan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on hands rows to Python in batches of 2,000 rows and 8 MB at most: a worker's memory
     then doesn't grow with the length of texts."""

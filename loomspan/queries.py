@@ -12,6 +12,7 @@ from .functions.text import SPACES
 from .operators import context
 from .plans.compiler import Engine
 from .plans.graph import Graph
+from .sources.shared import written
 from .sources.tables import table
 from .streaming import instances
 
@@ -518,14 +519,16 @@ def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node, max(depth)::int AS depth FROM level GROUP BY node"""
 )
 def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every node from the start of its chain, where edges lead from a number to its double: a level a step."""
-    parts = f"parquet.`{sf_dir}/part.parquet`"
-    return spark.sql(
-        f"""WITH RECURSIVE level(node, depth) AS (
-            SELECT p_partkey, 0 FROM {parts} WHERE p_partkey % 2 = 1
-            UNION ALL SELECT p.p_partkey, l.depth + 1 FROM level l JOIN {parts} p ON p.p_partkey = l.node * 2
-        ) SELECT node, max(depth) AS depth FROM level GROUP BY node"""
-    )
+    """Distance of every node from the start of its chain, where edges lead from a number to its double: a level a round.
+    Each round's nodes are written to the shared folder, until a round finds none."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).distinct()
+    found = written(parts.where(F.col("node") % 2 == 1).withColumn("depth", F.lit(0)))
+    levels = found
+    while not found.isEmpty():
+        reached = found.select((F.col("node") * 2).alias("node"), (F.col("depth") + 1).alias("depth"))
+        found = written(parts.join(reached, "node"))
+        levels = levels.unionByName(found)
+    return levels.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
 @query(

@@ -46,3 +46,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == spark.read.parquet(f"{DATA}/documents.parquet").count()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_levels_have_no_row_limit(spark):
+    """The rows of a recursive statement are limited by a setting; levels aren't."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        got = {r.node: r.depth for r in queries.graph_levels(spark, DATA).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    nodes = {r.p_partkey for r in spark.read.parquet(f"{DATA}/part.parquet").collect()} - {0}
+    depth = {n: (n & -n).bit_length() - 1 for n in nodes}
+    assert got == {n: d for n, d in depth.items() if all(n >> k in nodes for k in range(d + 1))} and len(got) > 50
