@@ -281,6 +281,16 @@ def message_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).cast("string").alias("message_count"))
 
 
+def _continued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _talks(spark, sf_dir).select("conv_id", F.to_json("messages").alias("history"))
+    graph = Graph.of(
+        "continue",
+        {"h": ("input", {"label": "history"}), "q": ("input", {"value": "go on"}), "chat": ("immutable_chat", {"provider": "mock", "model": "demo"}), "r": ("output", {}), "n": ("output", {}), "m": ("output", {})},
+        [("h.output", "chat.messages"), ("q.output", "chat.message"), ("chat.response", "r.input"), ("chat.message_count", "n.input"), ("chat.messages", "m.input")],
+    )
+    return Engine().run(graph, rows, keep=["conv_id"])
+
+
 @query(
     """WITH l AS (SELECT conv_id, list({'content': coalesce(text, ''), 'role': coalesce(role, '')} ORDER BY turn) AS m, count(*) FILTER (WHERE role = 'user') + 1 AS n FROM conversations GROUP BY conv_id),
     r AS (SELECT conv_id, '[MOCK DEMO] Turn ' || n || ' response to: go on' AS response, m FROM l)
@@ -288,14 +298,7 @@ def message_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chat_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One more turn of every conversation by the chat node."""
-    rows = _talks(spark, sf_dir).select("conv_id", F.to_json("messages").alias("history"))
-    graph = Graph.of(
-        "continue",
-        {"h": ("input", {"label": "history"}), "q": ("input", {"value": "go on"}), "chat": ("immutable_chat", {"provider": "mock", "model": "demo"}), "r": ("output", {}), "n": ("output", {}), "m": ("output", {})},
-        [("h.output", "chat.messages"), ("q.output", "chat.message"), ("chat.response", "r.input"), ("chat.message_count", "n.input"), ("chat.messages", "m.input")],
-    )
-    done = Engine().run(graph, rows, keep=["conv_id"])
-    return done.select("conv_id", F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), talk.context_key(F.col("m.result"), ascii_only=False).alias("context_key"))
+    return _continued(spark, sf_dir).select("conv_id", F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), talk.context_key(F.col("m.result"), ascii_only=False).alias("context_key"))
 
 
 @query(
@@ -371,6 +374,12 @@ def context_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.insert_absent(keys.where("known = 1"), keys.select("context_key", "turn"))
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    graph = Graph.of("talk", {"m": ("input", {"label": "message"}), "chat": ("immutable_chat", {}), "r": ("output", {})}, [("m.output", "chat.message"), ("chat.response", "r.input")])
+    done = Engine().run(graph, rows, keep=["conv_id"])
+    return done.select("conv_id", F.col("r.result").alias("response"), F.col("context_token").alias("context_key"))
+
+
 @query(
     """WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
     SELECT conv_id, '[MOCK MOCK] Turn 1 response to: ' || text AS response, substr(sha256('[{"content":"You are a helpful AI assistant.","role":"system"},{"content":' || to_json(text)::varchar || ',"role":"user"},{"content":' || to_json('[MOCK MOCK] Turn 1 response to: ' || text)::varchar || ',"role":"assistant"}]'), 1, 16) AS context_key
@@ -379,9 +388,33 @@ def context_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token that a chat graph hands on, for last messages in plain ASCII."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message")).where((F.col("message") != "") & F.col("message").rlike(r"^[ -~\n]*\z"))
-    graph = Graph.of("talk", {"m": ("input", {"label": "message"}), "chat": ("immutable_chat", {}), "r": ("output", {})}, [("m.output", "chat.message"), ("chat.response", "r.input")])
-    done = Engine().run(graph, rows, keep=["conv_id"])
-    return done.select("conv_id", F.col("r.result").alias("response"), F.col("context_token").alias("context_key"))
+    return _tokens(rows)
+
+
+@query()
+def context_prefix_key_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``context_prefix_key`` with the default key, of JSON in ASCII, for every message."""
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    messages = F.collect_list(talk.message(F.col("role"), F.col("text"))).over(so_far)
+    return table(spark, sf_dir, "conversations").withColumn("messages", messages).select("conv_id", "turn", talk.context_key(F.col("messages")).alias("context_key"))
+
+
+@query()
+def context_dedupe_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = _talks(spark, sf_dir).select(talk.context_key(F.col("messages")).alias("context_key"), F.size("messages").cast("long").alias("n_messages"))
+    return keyed.groupBy("context_key").agg(F.count(F.lit(1)).alias("n_conversations"), F.min("n_messages").alias("n_messages"))
+
+
+@query()
+def chat_continue_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chat_continue`` with the key that the chat node makes itself."""
+    return _continued(spark, sf_dir).select("conv_id", F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), F.col("context_token").alias("context_key"))
+
+
+@query()
+def context_token_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token that a chat graph hands on for the last message of every conversation, whatever is in it."""
+    return _tokens(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message")))
 
 
 @query("SELECT c_custkey, 'k_' || substr(sha256(c_name), 1, 12) AS hash_key FROM customer")

@@ -1,5 +1,7 @@
 """Every query of the engine against its SQL, on the small tables."""
 
+import hashlib
+import json
 import os
 from collections import Counter
 
@@ -58,3 +60,30 @@ def test_levels_have_no_row_limit(spark):
     nodes = {r.p_partkey for r in spark.read.parquet(f"{DATA}/part.parquet").collect()} - {0}
     depth = {n: (n & -n).bit_length() - 1 for n in nodes}
     assert got == {n: d for n, d in depth.items() if all(n >> k in nodes for k in range(d + 1))} and len(got) > 50
+
+
+def test_escaped_keys_by_json_dumps(spark, tmp_path):
+    """Keys of every conversation, with text that isn't ASCII, control characters, an empty and a missing last message."""
+    lasts = ["plain", "héllo – 漢字 😀", 'tab\t "q" \\u001F \x01\x7f\n', "", None]
+    rows = [(k, 0, "user", "Été") for k in range(5)] + [(k, 1, "assistant", t) for k, t in enumerate(lasts)]
+    rows += [(9, t, r, x) for _, t, r, x in rows[:1] + rows[5:6]]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = lambda name: queries.queries()[name](spark, str(tmp_path)).collect()
+
+    def key(*messages):
+        plain = json.dumps([{"role": r or "", "content": t or ""} for r, t in messages], sort_keys=True, separators=(",", ":"))
+        return hashlib.sha256(plain.encode()).hexdigest()[:16]
+
+    talks = {k: [(r, t) for i, _, r, t in rows if i == k] for k in (0, 1, 2, 3, 4, 9)}
+    assert {(r.conv_id, r.turn): r.context_key for r in got("context_prefix_key_escaped")} == {(k, n): key(*m[: n + 1]) for k, m in talks.items() for n in (0, 1)}
+    groups = Counter(key(*m) for m in talks.values())
+    assert {r.context_key: r.n_conversations for r in got("context_dedupe_escaped")} == groups and max(groups.values()) == 2
+    reply = "[MOCK DEMO] Turn 2 response to: go on"
+    assert {r.conv_id: r.context_key for r in got("chat_continue_escaped")} == {k: key(*m, ("user", "go on"), ("assistant", reply)) for k, m in talks.items()}
+    start = ("system", "You are a helpful AI assistant.")
+    said = {k: m[-1][1] for k, m in talks.items()}
+    tokens = {r.conv_id: (r.response, r.context_key) for r in got("context_token_all")}
+    for k, t in said.items():
+        answer = f"[MOCK MOCK] Turn 1 response to: {t}"
+        assert tokens[k] == ((answer, key(start, ("user", t), ("assistant", answer))) if t else ("Error: No message provided", "empty"))
+    assert len(tokens) == 6
