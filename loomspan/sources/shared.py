@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,14 +13,20 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one under /tmp where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and Spark runs in this
+    process alone (tests), a folder under /tmp; on a cluster that is an error, as executors don't see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else f"/tmp/loomspan-shared/{spark.sparkContext.applicationId}"
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"/tmp/loomspan-shared/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps start from the files, not from
-    the lineage, so a lost executor costs only its own tasks. The folder goes when the program ends."""
+    the lineage, so a lost executor costs only its own tasks. The folder goes when the program ends, or at the end of the
+    ``scratch`` block in which it was made."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -26,12 +34,34 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Inside the block, tables that ``written`` makes are for this step only and go at its end; the function that it gives
+    writes a table that stays until the program ends. Results that are not yet written when the block ends are lost."""
+    began, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = written(df)
+        kept.append(_written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        gone = [x for x in _written[began:] if x not in kept]
+        _written[began:] = kept
+        _delete(gone)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _clear() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return
+    try:
+        _delete(_written)
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        return
