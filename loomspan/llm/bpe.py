@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, without
+from .common import bounded_batches, fresh, without
 
 #: Distinct pre-tokens of up to LONGEST_KEPT characters whose encoding a worker keeps: when the newer half is full, it
 #: becomes the older one, from which pre-tokens that turn up again are taken over.
@@ -280,7 +280,5 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
 
     outs = ("n_tokens", "ids_sha256", "decoded_sha256")
     made = digests(F.col(text))
-    name = "digests"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "digests")
     return bounded_batches(docs).withColumn(name, made).select(*without(docs, *outs), *(F.col(name)[c].alias(c) for c in outs))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, fresh, small_enough, written
+from .common import fresh, sifted, small_enough, spread, spread_join, written
 
 #: Token positions that each mask looks at. Together they hit every window that ``allowed`` accepts, from LEAST tokens up
 #: to 13 (a test tries all placements of substitutions); a longer window holds such a one.
@@ -20,6 +20,9 @@ MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 #: Items of fewer tokens are no evidence and match nothing.
 LEAST = 8
 
+#: Parts into which the documents' seeds are dealt where the benchmark's are too many to be broadcast.
+PARTS = 16
+
 
 def tokens_of(text: Column) -> Column:
     """Lower-cased runs of letters and digits, as 64-bit hashes."""
@@ -54,8 +57,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id
     Cases: null or empty texts and items of fewer than 8 tokens overlap nothing; null ids and rows that repeat an id
     are judged like others, and their pairs are reported once; empty tables give no rows; other columns are not read.
 
-    Seeds of the benchmark are broadcast when they are counted to be few, else the join is shuffled; so are the hits
-    on their way back to the documents' tokens.
+    Seeds of the benchmark are broadcast when they are counted to be few. Else a bitmap of them, whose size is bounded, is
+    broadcast and keeps back the documents' seeds that no item has; those left are dealt by seed and a salt, so that the
+    seeds of a common phrase spread. So it is with documents that have hits: only their texts are read again and shuffled.
     """
     if not LEAST <= window <= 13 and masks == MASKS:
         raise ValueError("the default masks are complete for windows of 8 to 13 tokens")
@@ -70,16 +74,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, doc_id
     read = docs.select(key, tokens_of(F.col(text)).alias("dt"))
     #: one explode for all masks, so that the texts are read and hashed once
     both = read.select("doc_id", F.explode(F.array(*seeds_of(F.col("dt"), masks))).alias("seeds")).select("doc_id", F.posexplode("seeds").alias("doc_at", "seed"))
-    few = small_enough(probes)
-    hits = both.join(F.broadcast(probes) if few else probes, "seed").select("doc_id", "item_id", "version", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
-    hits = written(hits.distinct())
+    if small_enough(probes):
+        met = both.join(F.broadcast(probes), "seed")
+    else:
+        salted = sifted(both, F.col("seed"), probes.select("seed")).withColumn("part", F.pmod(spread(F.col("doc_id"), F.col("doc_at")), F.lit(PARTS)))
+        met = salted.join(probes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))), ["seed", "part"])
+    hits = written(met.select("doc_id", "item_id", "version", (F.col("doc_at") - F.col("item_at")).alias("diagonal")).distinct())
 
-    at_hand = read.where(F.size("dt") >= LEAST)
-    n_hits = hits.limit(BROADCAST_ROWS + 1).count()
     keyed = hits.withColumnRenamed("doc_id", "hit_doc")
-    joined = at_hand.join(F.broadcast(keyed) if n_hits <= BROADCAST_ROWS else keyed, F.col("doc_id").eqNullSafe(F.col("hit_doc"))).drop("hit_doc")
-    known = items.withColumnRenamed("item_id", "known_item")
-    joined = joined.join(F.broadcast(known) if small_enough(items, BROADCAST_ROWS // 50) else known, F.col("item_id").eqNullSafe(F.col("known_item")) & (joined["version"] == known["version"])).drop("known_item").drop("version")
+    texts = docs.select(key, F.col(text).alias("text"))
+    tokens = tokens_of(F.col("text")).alias("dt")
+    same_doc = F.col("doc_id").eqNullSafe(F.col("hit_doc"))
+    if small_enough(hits):
+        named = F.broadcast(keyed.select("hit_doc").distinct())
+        joined = texts.join(named, same_doc, "left_semi").select("doc_id", tokens).join(F.broadcast(keyed), same_doc).drop("hit_doc")
+    else:
+        joined = sifted(texts, F.xxhash64("doc_id"), hits.select(F.xxhash64("doc_id"))).select("doc_id", tokens).join(keyed, same_doc).drop("hit_doc")
+    joined = joined.where(F.size("dt") >= LEAST)
+    if small_enough(items, weight=1 + F.size("it") / 8):
+        known = items.withColumnsRenamed({"item_id": "known_item", "version": "known_version"})
+        joined = joined.join(F.broadcast(known), F.col("item_id").eqNullSafe(F.col("known_item")) & (F.col("version") == F.col("known_version")))
+    else:
+        per = written(hits.groupBy("item_id", "version").agg(F.count("*").alias("n_hits")))
+        total = per.agg(F.sum("n_hits")).first()[0] or 0
+        per = per.withColumnsRenamed({"item_id": "of", "version": "hit_version"})
+        counted = written(items.join(per, F.col("item_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("hit_version"))).select(F.xxhash64("item_id").alias("name"), "version", "it", "n_hits"))
+        joined = spread_join(joined, counted, {"name": F.xxhash64("item_id"), "version": F.col("version")}, {"it": "it"}, "n_hits", total, F.xxhash64("doc_id", "diagonal")).where(F.col("it").isNotNull())
 
     low, high = F.greatest(F.lit(0), -F.col("diagonal")), F.least(F.size("it"), F.size("dt") - F.col("diagonal"))
     same = F.transform(F.sequence(low, high - 1), lambda i: (F.get(F.col("dt"), i + F.col("diagonal")) == F.get(F.col("it"), i)).cast("int"))

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, without
+from .common import bounded_batches, fresh, threshold, without
 
 #: n-grams of a profile, and training texts for each language that are expected in the (bounded) training sample.
 TOP, TEXTS_PER_LANGUAGE = 400, 2_000
@@ -50,11 +50,11 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", to
     same on every run and its size does not grow with the table. Counting runs in Spark; what reaches the driver is
     ``top`` n-grams for each language. Rows with a null label or no letter add nothing.
     """
-    rows = bounded_batches(labelled).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(text) if order is None else order), F.lit(1_000_000)).alias("at"))
+    rows = bounded_batches(labelled).where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text) if order is None else order).alias("at"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(1_000_000 * min(1.0, per_language / n)))])
+    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, threshold(per_language, n))])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,7 +64,7 @@ def fit_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", to
                 n = np.bincount(at, np.concatenate([n for _, n in each]), len(grams)).astype(np.int64)
                 yield pd.DataFrame({"lang": name, "gram": grams, "n": n})
 
-    counts = rows.where(F.col("at") < F.element_at(rate, F.col("lang"))).select("lang", "text").mapInPandas(counted, "lang string, gram long, n long")
+    counts = rows.where(F.col("at") <= F.element_at(rate, F.col("lang"))).select("lang", "text").mapInPandas(counted, "lang string, gram long, n long")
     summed = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     found = summed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= top).orderBy("lang", "place").collect()
@@ -110,7 +110,5 @@ def identify_language(docs: DataFrame, profiles: dict[str, list[int]], text: str
         for texts in batches:
             yield pd.DataFrame([table.best(t) for t in texts], columns=["lang_pred", "score"])
 
-    name = "language"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "language")
     return bounded_batches(docs).withColumn(name, best(F.col(text))).select(*without(docs, "lang_pred", "score"), F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, small_enough, written
+from .common import bounded_batches, marker, named, sifted, small_enough, spread_join, without, written
 from .stars import components
 
 #: MinHash values of a text (one byte each), values of a band, bands: a pair at similarity 0.8 shares none of the bands
@@ -25,8 +25,9 @@ VALUES, ROWS, BANDS = 128, 4, 24
 #: Values compared before each look at the posterior, and the tolerance below which a pair is dropped.
 STEP, TOLERANCE = 32, 1e-6
 
-#: Texts of one block. A bucket of more texts is split into blocks, and each pair of blocks is a piece of work.
-BLOCK = 256
+#: Texts of one block, and code points of their texts together (expected). A bucket of more is split into blocks, and each
+#: pair of blocks is a piece of work.
+BLOCK, BLOCK_CHARS = 256, 4 << 20
 
 _MULTIPLY, _ADD = (np.random.default_rng(20240229).integers(1, 2**32, (2, VALUES), dtype=np.uint64) | 1).astype(np.uint32)
 _WORDS: dict[str, int] = {}
@@ -84,11 +85,12 @@ def fewest_matches(threshold: float, tolerance: float = TOLERANCE) -> tuple[int,
     return tuple(out)
 
 
-def surviving(sigs: np.ndarray, side: np.ndarray, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def surviving(piece: pd.DataFrame, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of a piece of work that pass every look, and whose first common band is this one. Within one block
     all pairs are looked at; between two blocks (side 0 and 1) those across."""
+    band, i, j = (int(piece[c].iloc[0]) for c in ("band", "i", "j"))
+    side, across = piece["side"].to_numpy(), i != j
     fewest, step = fewest_matches(threshold), max(1, 2_000_000 // (STEP * max(1, len(sigs))))
-    across = bool(side.any() and not side.all())
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(sigs)),) * 2
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(0, len(left), step):
@@ -175,18 +177,19 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str
     """Two tables on distinct texts (named by ``t``, the MD5 of the text): ``t``, ``first_id``, ``copies`` of every text;
     and ``t``, ``links``, ``near`` of pieces of work: how many rows of other texts link to it there, and a text of its
     component there. Nothing is returned by pair: a group of g near copies makes rows in proportion to g."""
-    named = bounded_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("t"))
+    rows = bounded_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.unhex(F.md5(F.col(text))).alias("t"))
 
     @F.pandas_udf("binary")
     def signed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: signature(s).tobytes() if len(s := shingles(x, n)) else None)
 
-    each = named.where(F.col("text").isNotNull()).select("t", "id", signed("text").alias("sig"))
-    classes = written(each.groupBy("t").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("sig").alias("sig")))
-    bands = classes.where(F.col("sig").isNotNull()).select("t", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("sig", k * ROWS + 1, F.lit(ROWS)))).alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    in_bucket = bands.join(shared, ["band", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("t"), F.col("blocks")))
+    each = rows.where(F.col("text").isNotNull()).select("t", "id", signed("text").alias("sig"), F.length("text").alias("chars"))
+    classes = written(each.groupBy("t").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.max("chars").alias("chars")))
+    bands = classes.where(F.col("sig").isNotNull()).select("t", "chars", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("sig", k * ROWS + 1, F.lit(ROWS)))).alias("band", "key"))
+    shared = written(bands.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("chars").alias("chars")).where(F.col("size") > 1))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.least(F.col("size"), F.col("chars") / BLOCK_CHARS))).cast("int")
+    met = spread_join(bands.drop("chars"), shared, {"band": F.col("band"), "key": F.col("key")}, {"size": "size", "chars": "chars"}, "size", classes.count() * BANDS, F.col("t"))
+    in_bucket = met.where(F.col("size").isNotNull()).withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("t"), F.col("blocks")))
     other = in_bucket.select("t", "band", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pieces = other.select("t", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     order = ["band", "key", "i", "j", "t"]
@@ -197,7 +200,7 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str
             if len(p) < 2:
                 return None
             sigs = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, VALUES)
-            a, b = surviving(sigs, p["side"].to_numpy(), int(p["band"].iloc[0]), threshold)
+            a, b = surviving(p, sigs, threshold)
             return p.iloc[np.unique(np.concatenate([a, b]))] if len(a) else None
 
         return _pieces(batches, work)
@@ -205,14 +208,15 @@ def ngram_links(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str
     asked = written(ready.mapInPandas(prune, ready.schema))
     wanted = written(asked.select("t").distinct().join(classes.select("t", "first_id"), "t"))
     w = wanted.select(F.col("t").alias("wt"), "first_id")
-    w = F.broadcast(w) if small_enough(w) else w
-    texts = named.join(w, (F.col("t") == F.col("wt")) & F.col("id").eqNullSafe(F.col("first_id"))).select("t", "text").dropDuplicates(["t"])
+    few = small_enough(w)
+    source = rows if few else sifted(rows, F.xxhash64("t"), w.select(F.xxhash64("wt")))  # other texts aren't shuffled
+    texts = source.join(F.broadcast(w) if few else w, (F.col("t") == F.col("wt")) & F.col("id").eqNullSafe(F.col("first_id"))).select("t", "text").dropDuplicates(["t"])
     last = asked.join(texts, "t").repartition("band", "key", "i", "j").sortWithinPartitions(*order)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def work(p: pd.DataFrame) -> pd.DataFrame | None:
             sigs = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, VALUES)
-            a, b = surviving(sigs, p["side"].to_numpy(), int(p["band"].iloc[0]), threshold)
+            a, b = surviving(p, sigs, threshold)
             ok = verified([shingles(x, n) for x in p["text"]], a, b, threshold)
             a, b = a[ok], b[ok]
             if not len(a):
@@ -242,18 +246,25 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str
     classes, links = ngram_links(docs, n, threshold, doc_id, text)
     edges = links.select(F.col("t").alias("u"), F.col("near").alias("v"))
     rooted = components(edges)  # read from the table of its last round
-    ids = rooted.join(classes.select(F.col("t").alias("node"), "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("class_id"))
+    ids = written(rooted.join(classes.select(F.col("t").alias("node"), "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members")))
+    n_nodes = ids.agg(F.sum("members")).first()[0] or 0
+    known = spread_join(rooted, ids, {"root": F.col("root")}, {"class_id": "class_id"}, "members", n_nodes, F.col("node")).select(F.col("node").alias("t"), "class_id")
     summed = links.groupBy("t").agg(F.sum("links").alias("links"))
-    known = rooted.join(ids, "root").select(F.col("node").alias("t"), "class_id").join(summed, "t", "left")
-    result = classes.where(F.col("sig").isNotNull()).join(known, "t", "left").select(F.col("t").alias("ngram_t"), F.coalesce("class_id", "first_id").alias("ngram_class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("ngram_links"))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("class_id", "n_links")]
-    key = fresh(docs, "text_key")  # a column of its own, so that the text itself isn't shuffled unless it is asked for
-    joined = docs.withColumn(key, F.unhex(F.md5(F.col(text)))).join(result, F.col(key) == F.col("ngram_t"), "left")
-    own = F.when(F.col("ngram_t").isNull(), F.col(doc_id)).otherwise(F.col("ngram_class"))
-    return joined.select(*keep, own.alias("class_id"), F.coalesce("ngram_links", F.lit(0)).cast("long").alias("n_links"))
+    told = classes.where(F.col("sig").isNotNull()).join(known, "t", "left").join(summed, "t", "left")
+    told = written(told.select("t", "copies", F.lit(True).alias("known"), F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    total = told.agg(F.sum("copies")).first()[0] or 0
+    m = marker(docs)  # the key is a column of its own, so that the text itself isn't shuffled unless it is asked for
+    joined = spread_join(docs, told, {"t": F.unhex(F.md5(F.col(text)))}, {f"{m}known": "known", f"{m}class": "class_id", f"{m}links": "n_links"}, "copies", total, F.col(doc_id))
+    own = F.when(F.col(f"{m}known").isNull(), F.col(doc_id)).otherwise(F.col(f"{m}class"))
+    return joined.select(*without(docs, "class_id", "n_links"), own.alias("class_id"), F.coalesce(f"{m}links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class (rows with a null id stay). Rows that repeat the id stay too."""
-    joined = ngram_join(docs.withColumnsRenamed({}), n, threshold, doc_id, text)
-    return joined.where(F.col("class_id").isNull() | (F.col(doc_id) == F.col("class_id"))).select(*docs.columns)
+    """The rows of ``docs`` whose id is that of their class, and those of classes without an id. Rows that repeat the id
+    stay too, and all columns."""
+    outs = ("class_id", "n_links")
+    m = marker(docs)
+    held = docs.withColumnsRenamed({c: f"{m}{c}" for c in docs.columns if c.lower() in outs})
+    joined = ngram_join(held, n, threshold, doc_id, text)
+    kept = joined.where(F.col("class_id").isNull() | (F.col(doc_id) == F.col("class_id")))
+    return kept.select(*[named(f"{m}{c}" if c.lower() in outs else c).alias(c) for c in docs.columns])

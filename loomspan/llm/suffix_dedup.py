@@ -2,10 +2,11 @@
 
 A window of 50 bytes is named by its anchor: of the 24-byte grams in it, the one whose hash is least (the leftmost of
 equals). Equal windows have equal anchors, so windows can be brought together by anchor, in buckets, and no two that are
-equal are ever apart. Consecutive windows of one anchor form a context. A window has 13 bytes or more beside its anchor on one side, so a context whose
-anchor with these, left or right, no other document has is done; a context that equals one of a smaller document goes
-whole; what is left is sent as bytes to its bucket, where the windows are sorted as suffixes (``suffix_sort``: block by block, with a difference cover) and runs of equal windows find
-their smallest document."""
+equal are ever apart. Consecutive windows of one anchor form a context. A window has 13 bytes or more
+beside its anchor on one side, so a context whose anchor with these, left or right, no other document has is done; one that
+equals a context of a smaller document in its chunk, by its bytes, or elsewhere, by an 80-bit hash of all of them, goes
+whole; what is left is sent as bytes to its bucket, where the windows are sorted as suffixes (``suffix_sort``: block by block,
+with a difference cover) and runs of equal windows find their smallest document."""
 
 from __future__ import annotations
 
@@ -24,9 +25,10 @@ GRAM = 24
 GRAMS = WINDOW - GRAM + 1
 BESIDE = (WINDOW - GRAM) // 2
 
-#: Bytes of text that are handled together (a chunk, expected), and for which there is one bucket; parts of a bucket whose
-#: bytes are sorted apart.
-CHUNK, BUCKET, PARTS = 4 << 20, 4 << 20, 4
+#: Bytes of text that are handled together (a chunk, expected), and for which there is one bucket, at least; parts of a
+#: bucket whose bytes are sorted apart. A chunk sends each bucket one row, so both grow with the root of all bytes where these
+#: are many: a row then holds some CONTEXTS_SENT contexts, and rows grow in proportion to the bytes.
+CHUNK, BUCKET, PARTS, CONTEXTS_SENT = 4 << 20, 4 << 20, 4, 16
 
 #: An anchor with this many different contexts in one chunk is a common phrase: its windows are dealt out one by one.
 COMMON = 64
@@ -106,7 +108,8 @@ class _Chunk:
     """The documents of one chunk, in order of id and text, with their contexts sorted by bucket, anchor, hash and id."""
 
     def __init__(self, rows: pd.DataFrame, n_buckets: int, sort: bool = True):
-        rows = rows.sort_values(["id", "text"], kind="stable")
+        rows = rows.sort_values(["id", "nameless", "text"], kind="stable")
+        self.nameless = rows["nameless"].tolist()
         self.ids, texts = rows["id"].to_numpy(np.int64), rows["text"].tolist()
         self.text, self.ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
         if not sort:
@@ -122,7 +125,9 @@ class _Chunk:
         n = len(order)
         same_anchor, same = np.zeros(n, bool), np.zeros(n, bool)
         same_anchor[1:] = (self.anchor[1:] == self.anchor[:-1]) & (self.bucket[1:] == self.bucket[:-1])
-        same[1:] = same_anchor[1:] & (self.whole[1:] == self.whole[:-1])
+        same[1:] = same_anchor[1:] & (self.whole[1:] == self.whole[:-1]) & (self.s1[1:] - self.s0[1:] == self.s1[:-1] - self.s0[:-1])
+        alike = np.flatnonzero(same)  # of one hash: the bytes decide
+        same[alike] = _equal_bytes(self.text, self.s0[alike], self.s0[alike - 1], self.s1[alike] - self.s0[alike] + WINDOW)
         self.group = np.cumsum(~same) - 1  # equal contexts
         first = np.flatnonzero(~same)
         #: contexts of documents above the smallest that has them here go without asking anyone
@@ -177,6 +182,24 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(c, b, zlib.compress(x.tobytes(), 1)) for c, b, x in zip(rows["chunk"], rows["bucket"], np.split(out, np.cumsum(size)[:-1]), strict=True)], columns=["chunk", "bucket", "answer"])
 
 
+def pieces_of(total: int) -> tuple[int, int]:
+    """Chunks and buckets for so many bytes."""
+    even = int((total * GRAMS / 2 * CONTEXTS_SENT) ** 0.5)  # a context has some GRAMS / 2 windows of its own
+    return max(1, -(-total // max(CHUNK, even))), max(1, -(-total // max(BUCKET, even)))
+
+
+def _equal_bytes(text: bytes, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from ``a`` on equal those from ``b`` on, for ``size`` bytes (8 at least)."""
+    raw = np.frombuffer(text, np.uint8)
+    words = np.lib.stride_tricks.as_strided(raw, (max(0, len(raw) - 7), 8), (1, 1))
+    at = lambda x: words[x].view("<u8").ravel()
+    out = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        off = np.minimum(k, size - 8)
+        out &= at(a + off) == at(b + off)
+    return out
+
+
 def _joined_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans as sorted spans that don't touch."""
     if not len(start):
@@ -214,7 +237,7 @@ def _work(chunk: _Chunk, number: int, answers: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((ids, h))
         w, h, ids = w[order], h[order], ids[order]
         new = np.ones(len(w), bool)
-        new[1:] = h[1:] != h[:-1]
+        new[1:] = (h[1:] != h[:-1]) | ~_equal_bytes(chunk.text, w[1:], w[:-1], np.full(max(0, len(w) - 1), WINDOW))
         repeat = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
         spans_a, spans_b = [*spans_a, w[repeat]], [*spans_b, w[repeat] + WINDOW]
         at, last = np.concatenate([at, w[~repeat]]), np.concatenate([last, w[~repeat]])
@@ -276,9 +299,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
     total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    n_chunks, n_buckets = max(1, -(-total // CHUNK)), max(1, -(-total // BUCKET))
+    n_chunks, n_buckets = pieces_of(total)
     key = F.pmod(F.xxhash64(F.col(doc_id), F.substring(F.col(text), 1, 64)), F.lit(n_chunks))
-    rows = docs.select(key.cast("long").alias("chunk"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST_ID)).alias("id"), raw.alias("text"))
+    rows = docs.select(key.cast("long").alias("chunk"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST_ID)).alias("id"), F.col(doc_id).isNull().alias("nameless"), raw.alias("text"))
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
         out = _Chunk(part, n_buckets).asks()
@@ -293,7 +316,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     def finish(part: pd.DataFrame, spans: pd.DataFrame) -> pd.DataFrame:
         chunk = _Chunk(part, n_buckets, sort=False)
         a, b = _joined_spans(np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in spans["a"])]), np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in spans["b"])]))
-        out, begin = [], 0
+        out, names, begin = [], [], 0
         cut = np.searchsorted(chunk.ends, a, "right")  # spans of different documents can touch: cut at the ends
         pieces: dict[int, list[tuple[int, int]]] = {}
         for d, x, y in zip(cut.tolist(), a.tolist(), b.tolist(), strict=True):
@@ -309,11 +332,11 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 kept.append(chunk.text[at:x])
                 at = y
             kept.append(chunk.text[at:end])
-            i = int(chunk.ids[d])
-            out.append((None if i == _LAST_ID else i, end - begin, [{"start": x - begin, "end": y - begin} for x, y in mine], b"".join(kept)))
+            names.append(None if chunk.nameless[d] else int(chunk.ids[d]))
+            out.append((end - begin, [{"start": x - begin, "end": y - begin} for x, y in mine], b"".join(kept)))
             begin = end
-        made = pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
-        made["doc_id"] = made["doc_id"].astype("Int64")
+        made = pd.DataFrame(out, columns=["n_bytes", "spans", "kept"])
+        made.insert(0, "doc_id", pd.array(names, "Int64"))
         return made
 
     asked = rows.groupBy("chunk").applyInPandas(ask, "chunk long, bucket int, ids binary, doc binary, a4 binary, w4 binary, w2 binary, left binary, right binary")

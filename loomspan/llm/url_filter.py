@@ -7,15 +7,17 @@ its share of bad labels, smoothed towards its parent's, reaches a threshold."""
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, sized, without, written
+from .common import marker, spread_join, without, written
 
-#: Levels of the tree (segments below are not looked at), rows under which a literal segment becomes a wildcard, z under
-#: which a branch is merged, weight of the parent's share, and the share from which a template is rejected.
-DEPTH, SUPPORT, SIGNIFICANT, WEIGHT, REJECTED = 3, 5, 2.0, 4.0, 0.6
+#: Urls under which a literal segment becomes a wildcard (and a node is not branched any more), z under which a branch is
+#: merged, weight of the parent's share, and the share from which a template is rejected.
+SUPPORT, SIGNIFICANT, WEIGHT, REJECTED = 5, 2.0, 4.0, 0.6
 
 
 def host_of(url: Column) -> Column:
@@ -46,49 +48,100 @@ def rule_of(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def judged(pages: DataFrame, rules: dict[str, str], url: str = "url", labels: str | None = None, depth: int = DEPTH) -> DataFrame:
+def shape_of(path: Column) -> Column:
+    """The segments of a path, in which one that holds a digit is a wildcard with the segment's ending."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[A-Za-z]+)$", 1))).otherwise(s))
+
+
+def template_tree(shapes: DataFrame, share: float) -> DataFrame:
+    """``host``, ``shape``, ``n``, ``template``, ``bad_share`` of each row of ``shapes`` (``host``, ``shape`` array<string>,
+    ``n`` urls, ``labelled`` and ``bad`` of them; written). ``share`` is that of all labels.
+
+    The tree grows a level in a round, until no shape has a segment left. Below a node of fewer than SUPPORT urls, or of one
+    shape, no branch can differ from its parent significantly: the rest of such paths is done at once, so that rounds are
+    as many as levels at which urls part. Nodes go to their children by joins that spread hot nodes.
+    """
+    total = shapes.count()
+    sums = (F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("rows").alias("rows"))
+    smoothed = lambda bad, labelled, above: (bad + WEIGHT * above) / (labelled + WEIGHT)
+    hosts = written(shapes.withColumn("rows", F.lit(1).cast("long")).groupBy("host").agg(*sums))
+    hosts = hosts.select("host", "rows", F.col("n").alias("urls"), smoothed(F.col("bad"), F.col("labelled"), F.lit(share)).alias("bad_share"))
+    now = spread_join(shapes, hosts, {"host": F.col("host")}, {"bad_share": "bad_share", "urls": "urls", "kinds": "rows"}, "rows", total, F.xxhash64("shape"))
+    now = written(now.withColumn("node", F.lit("")))
+    parts, level = [], 0
+    while True:
+        more = F.size("shape") > level
+        few = (F.col("urls") < SUPPORT) | (F.col("kinds") == 1)
+        parts.append(now.where(~more).select("host", "shape", "n", F.col("node").alias("template"), "bad_share"))
+        parts.append(_tails(now.where(more & few), level, smoothed))
+        now = now.where(more & ~few)
+        if now.isEmpty():
+            break
+        now = now.withColumn("seen", F.get("shape", F.lit(level)))
+        seen = written(now.withColumn("rows", F.lit(1).cast("long")).groupBy("host", "node", "bad_share", "seen").agg(*sums))
+        rare = (F.col("n") < SUPPORT) & ~F.startswith("seen", F.lit("*"))
+        shaped = seen.withColumn("literal", F.when(rare, "*").otherwise(F.col("seen")))
+        ones = F.sum(F.lit(1).cast("long")).alias("below")
+        alike = written(shaped.groupBy("host", "node", "bad_share", "literal").agg(*sums, ones))
+        parents = written(alike.groupBy("host", "node").agg(((F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("rate"), ones))
+        rated = spread_join(alike, parents, {"host": F.col("host"), "node": F.col("node")}, {"rate": "rate"}, "below", total, F.xxhash64("literal"))
+        expected = F.col("labelled") * F.col("rate")
+        away = F.abs(F.col("bad") - expected) >= SIGNIFICANT * F.sqrt(expected * (1 - F.col("rate")))
+        branched = written(rated.withColumn("branch", F.when((F.col("labelled") > 0) & away, F.col("literal")).otherwise("+")))
+        branches = branched.groupBy("host", "node", "bad_share", "branch").agg(F.sum("n").alias("urls"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum("rows").alias("kinds"), ones.alias("literals"))
+        scored = written(branches.select("host", "node", "branch", "urls", "kinds", "literals", smoothed(F.col("bad"), F.col("labelled"), F.col("bad_share")).alias("next_share")))
+        keys = lambda *names: {k: F.col(k) for k in ("host", "node", *names)}
+        leads = spread_join(branched, scored, keys("branch"), {"next_share": "next_share", "urls": "urls", "kinds": "kinds"}, "literals", total, F.xxhash64("literal"))
+        leads = written(leads.select("host", "node", "literal", "below", F.concat("node", F.lit("/"), "branch").alias("next_node"), "next_share", "urls", "kinds"))
+        told = {k: k for k in ("next_node", "next_share", "urls", "kinds")}
+        step = spread_join(shaped, leads, keys("literal"), told, "below", total, F.xxhash64("seen"))
+        step = written(step.select("host", "node", "seen", "rows", *told))
+        now = spread_join(now, step, keys("seen"), told, "rows", total, F.xxhash64("shape"))
+        now = written(now.select("host", "shape", "n", "labelled", "bad", F.col("next_node").alias("node"), F.col("next_share").alias("bad_share"), "urls", "kinds"))
+        level += 1
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _tails(rows: DataFrame, level: int, smoothed: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """The rest of paths whose node (fewer than SUPPORT rows of it are here) has merged branches only from here on."""
+    each = F.collect_list(F.struct("shape", "n", "labelled", "bad"))
+    nodes = rows.groupBy("host", "node", "bad_share").agg(each.alias("g")).select("host", "node", "bad_share", "g", F.explode("g").alias("x"))
+
+    def down(share: Column, k: Column) -> Column:
+        deeper = F.filter("g", lambda y: F.size(y["shape"]) > k)
+        total = lambda name: F.aggregate(deeper, F.lit(0).cast("long"), lambda a, y: a + y[name])
+        return smoothed(total("bad"), total("labelled"), share)
+
+    size = F.size("x.shape")
+    share = F.aggregate(F.sequence(F.lit(level), size - 1), F.col("bad_share"), down)
+    return nodes.select("host", F.col("x.shape").alias("shape"), F.col("x.n").alias("n"), F.concat("node", F.repeat(F.lit("/+"), size - level)).alias("template"), share.alias("bad_share"))
+
+
+def judged(pages: DataFrame, rules: dict[str, str], url: str = "url", labels: str | None = None) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` (``allow`` or ``block``), ``template`` and ``bad_share``.
 
     The rule that fits decides. Else the tree does, which learns from the urls that have a label: the column ``labels``
     (1 bad, 0 good, null none), or if it isn't given, the verdicts of the rules on the urls that they fit.
 
     Cases: a null url, or one without ``://``, has an empty host and path and is judged by the root of the empty
-    host; hosts without labels have the smoothed share of all labels, one half if there are none; repeated rows count
-    each; an empty table gives no rows; columns named like the outputs are replaced, the others pass through.
+    host; hosts without labels have the smoothed share of all labels, one half if there are none; paths are followed to
+    their last segment; repeated rows count each; an empty table gives no rows; columns named like the outputs are
+    replaced, the others pass through.
 
-    Counting is by host and template with partial sums on the map side, so a hot host is one row from each task; the
-    tree, not the urls, is joined back, by broadcast if its counted rows allow it.
+    Urls are counted once, by host and shape, with partial sums on the map side. The tree is made from these counts, and
+    each shape's template goes back to its urls by a join that spreads shapes which hold many of all urls.
     """
     outs = ("host", "path", "rule", "verdict", "template", "bad_share")
-    row = fresh(pages, "row")
-    col = F.col(url)
-    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias(row), host_of(col).alias("host"), path_of(col).alias("path"))
-    base = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    label = F.when(F.col("r.verdict").isNotNull(), (F.col("r.verdict") == "block").cast("int")) if labels is None else F.col(row)[labels].cast("int")
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    at = base.select(row, "host", "path", "r", label.alias("bad"), segments.alias("segments"), F.lit("").alias("node"))
-    counts = (F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = written(at.groupBy("host").agg(*counts))
-    whole = hosts.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
-    share = ((whole["bad"] or 0) + 1) / ((whole["labelled"] or 0) + 2)
-    tree = hosts.select("host", F.lit("").alias("node"), ((F.col("bad") + WEIGHT * share) / (F.col("labelled") + WEIGHT)).alias("bad_share"))
-    at = at.join(sized(written(tree)), ["host", "node"])
-    for level in range(depth):
-        segment = F.get("segments", F.lit(level))
-        ending = F.regexp_extract(segment, r"(\.[A-Za-z]+)$", 1)
-        at = at.withColumn("seen", F.when(segment.rlike("[0-9]"), F.concat(F.lit("*"), ending)).otherwise(segment))
-        seen = written(at.where(F.col("seen").isNotNull()).groupBy("host", "node", "bad_share", "seen").agg(F.count("*").alias("n"), *counts))
-        shaped = seen.withColumn("shape", F.when((F.col("n") < SUPPORT) & ~F.startswith("seen", F.lit("*")), "*").otherwise(F.col("seen")))
-        parent = shaped.groupBy("host", "node").agg(((F.sum("bad") + 1) / (F.sum("labelled") + 2)).alias("rate"))
-        shapes = shaped.groupBy("host", "node", "bad_share", "shape").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).join(parent, ["host", "node"])
-        away = F.abs(F.col("bad") - F.col("labelled") * F.col("rate")) >= SIGNIFICANT * F.sqrt(F.col("labelled") * F.col("rate") * (1 - F.col("rate")))
-        branched = shapes.withColumn("branch", F.when((F.col("labelled") > 0) & away, F.col("shape")).otherwise("+"))
-        branches = branched.groupBy("host", "node", "bad_share", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        scored = branches.select("host", "node", "branch", ((F.col("bad") + WEIGHT * F.col("bad_share")) / (F.col("labelled") + WEIGHT)).alias("next_share"))
-        step = shaped.select("host", "node", "seen", "shape").join(branched.select("host", "node", "shape", "branch"), ["host", "node", "shape"]).join(scored, ["host", "node", "branch"])
-        step = sized(written(step.select("host", "node", "seen", F.concat("node", F.lit("/"), "branch").alias("next_node"), "next_share")))
-        at = at.join(step, ["host", "node", "seen"], "left")
-        at = at.select(row, "host", "path", "r", "bad", "segments", F.coalesce("next_node", "node").alias("node"), F.coalesce("next_share", "bad_share").alias("bad_share"))
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("bad_share") >= REJECTED, "block").otherwise("allow"))
-    made = at.select(F.col(f"{row}.*"), *[x.alias(f"{row}_{n}") for n, x in zip(outs, (F.col("host"), F.col("path"), F.col("r.rule"), verdict, F.col("node"), F.col("bad_share")), strict=True)])
-    return made.select(*without(pages, *outs), *[F.col(f"{row}_{n}").alias(n) for n in outs])
+    m = marker(pages)
+    of = lambda name: F.col(f"{m}{name}")
+    label = None if labels is None else F.col(labels).cast("int")
+    at = pages.withColumns({f"{m}host": host_of(F.col(url)), f"{m}path": path_of(F.col(url))}).withColumns({f"{m}fit": rule_of(of("host"), of("path"), rules), f"{m}shape": shape_of(of("path"))})
+    at = at.withColumn(f"{m}bad", F.when(of("fit.verdict").isNotNull(), (of("fit.verdict") == "block").cast("int")) if label is None else label)
+    shapes = written(at.groupBy(of("host").alias("host"), of("shape").alias("shape")).agg(F.count("*").alias("n"), F.count(of("bad")).alias("labelled"), F.coalesce(F.sum(of("bad")), F.lit(0)).alias("bad")))
+    whole = shapes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
+    tree = written(template_tree(shapes, ((whole["bad"] or 0) + 1) / ((whole["labelled"] or 0) + 2)))
+    found = spread_join(at, tree, {"host": of("host"), "shape": of("shape")}, {f"{m}template": "template", f"{m}share": "bad_share"}, "n", whole["n"] or 0, F.xxhash64(F.col(url)))
+    verdict = F.coalesce(of("fit.verdict"), F.when(of("share") >= REJECTED, "block").otherwise("allow"))
+    made = (of("host"), of("path"), of("fit.rule"), verdict, of("template"), of("share"))
+    return found.select(*without(pages, *outs), *[x.alias(n) for n, x in zip(outs, made, strict=True)])

@@ -1,38 +1,29 @@
-"""DuckDB SQL for the url filter, written out level by level."""
+"""DuckDB SQL for the url filter: the urls walk down the tree together, a level in each step of a recursion."""
 
 from __future__ import annotations
 
-from .url_filter import DEPTH, REJECTED, SIGNIFICANT, SUPPORT, WEIGHT
-
 
 def sql(rules: dict[str, str]) -> str:
     listed = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{v}')" for r, v in rules.items())
-    parts = [
-        rf"""WITH rules(h, p, rule, verdict) AS (VALUES {listed}),
-u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    return rf"""WITH RECURSIVE rules(h, p, rule, verdict) AS (VALUES {listed}),
+u AS (SELECT row_number() OVER () AS i, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-hit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS said FROM u, rules
-  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-a0 AS (SELECT page_id, host, path, rule, said, CASE said WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
-  list_filter(string_split(path, '/'), lambda s: s <> '') AS segs, '' AS node FROM u LEFT JOIN hit USING (page_id)),
-w AS (SELECT (coalesce(sum(bad), 0) + 1) / (count(bad) + 2) AS share FROM a0),
-t AS (SELECT host, (coalesce(sum(bad), 0) + {WEIGHT} * (SELECT share FROM w)) / (count(bad) + {WEIGHT}) AS bad_share FROM a0 GROUP BY host),
-b0 AS (SELECT a0.*, t.bad_share FROM a0 JOIN t USING (host))"""
-    ]
-    for k in range(DEPTH):
-        s = f"segs[{k + 1}]"
-        parts.append(
-            rf"""s{k} AS (SELECT *, CASE WHEN regexp_matches({s}, '[0-9]') THEN '*' || regexp_extract({s}, '(\.[A-Za-z]+)$', 1) ELSE {s} END AS seen FROM b{k}),
-n{k} AS (SELECT host, node, bad_share, seen, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM s{k} WHERE seen IS NOT NULL GROUP BY ALL),
-h{k} AS (SELECT *, CASE WHEN n < {SUPPORT} AND NOT starts_with(seen, '*') THEN '*' ELSE seen END AS shape FROM n{k}),
-r{k} AS (SELECT host, node, (sum(bad) + 1) / (sum(labelled) + 2) AS rate FROM h{k} GROUP BY ALL),
-g{k} AS (SELECT host, node, bad_share, shape, sum(labelled) AS labelled, sum(bad) AS bad FROM h{k} GROUP BY ALL),
-c{k} AS (SELECT g.*, CASE WHEN labelled > 0 AND abs(bad - labelled * rate) >= {SIGNIFICANT} * sqrt(labelled * rate * (1 - rate)) THEN shape ELSE '+' END AS branch
-  FROM g{k} g JOIN r{k} USING (host, node)),
-d{k} AS (SELECT host, node, branch, (sum(bad) + {WEIGHT} * bad_share) / (sum(labelled) + {WEIGHT}) AS next_share FROM c{k} GROUP BY host, node, bad_share, branch),
-m{k} AS (SELECT h.host, h.node, h.seen, h.node || '/' || c.branch AS next_node, d.next_share
-  FROM h{k} h JOIN c{k} c USING (host, node, shape) JOIN d{k} d ON d.host = h.host AND d.node = h.node AND d.branch = c.branch),
-b{k + 1} AS (SELECT s.page_id, s.host, s.path, s.rule, s.said, s.bad, s.segs, coalesce(m.next_node, s.node) AS node, coalesce(m.next_share, s.bad_share) AS bad_share
-  FROM s{k} s LEFT JOIN m{k} m ON m.host = s.host AND m.node = s.node AND m.seen = s.seen)"""
-        )
-    return ",\n".join(parts) + f"\nSELECT page_id, host, path, rule, coalesce(said, CASE WHEN bad_share >= {REJECTED} THEN 'block' ELSE 'allow' END) AS verdict, node AS template FROM b{DEPTH}"
+hit AS (SELECT i, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS said FROM u, rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY i),
+a AS (SELECT i, page_id, host, path, rule, said, CASE said WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad,
+  list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM u LEFT JOIN hit USING (i)),
+w AS (SELECT (coalesce(sum(bad), 0) + 1) / (count(bad) + 2) AS share FROM a),
+walk(i, page_id, host, path, rule, said, bad, segs, k, node, bad_share) AS (
+  SELECT i, page_id, host, path, rule, said, bad, segs, 0, '', (coalesce(sum(bad) OVER h, 0) + 4.0 * (SELECT share FROM w)) / (count(bad) OVER h + 4.0)
+  FROM a WINDOW h AS (PARTITION BY host)
+  UNION ALL
+  SELECT i, page_id, host, path, rule, said, bad, segs, k + 1, node || '/' || branch,
+    (coalesce(sum(bad) OVER b, 0) + 4.0 * bad_share) / (count(bad) OVER b + 4.0)
+  FROM (SELECT *, CASE WHEN labelled > 0 AND abs(n_bad - labelled * rate) >= 2.0 * sqrt(labelled * rate * (1 - rate)) THEN shape ELSE '+' END AS branch
+    FROM (SELECT *, coalesce(sum(bad) OVER s, 0) AS n_bad, count(bad) OVER s AS labelled, (coalesce(sum(bad) OVER (PARTITION BY host, node), 0) + 1) / (count(bad) OVER (PARTITION BY host, node) + 2) AS rate
+      FROM (SELECT *, CASE WHEN count(*) OVER (PARTITION BY host, node, seen) < 5 AND NOT starts_with(seen, '*') THEN '*' ELSE seen END AS shape
+        FROM (SELECT *, CASE WHEN regexp_matches(segs[k + 1], '[0-9]') THEN '*' || regexp_extract(segs[k + 1], '(\.[A-Za-z]+)$', 1) ELSE segs[k + 1] END AS seen
+          FROM walk WHERE k < len(segs)))
+      WINDOW s AS (PARTITION BY host, node, shape)))
+  WINDOW b AS (PARTITION BY host, node, branch))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN bad_share >= 0.6 THEN 'block' ELSE 'allow' END) AS verdict, node AS template FROM walk WHERE k = len(segs)"""

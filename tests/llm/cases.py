@@ -41,12 +41,15 @@ TEXTS: list[tuple[int | None, str | None]] = [
 ]
 CLASH = "id string, t string, chunk int, x int, h int, d int, gone int, row int, seeds int, hit_doc int, n_lines string, n_dropped int, keep_runs int, class_id string, n_links string, lang_pred int, score string, n_tokens string, ids int, decoded int, section int, ids_sha256 int, digests int, language int"
 
+#: The same clashes in another case, and names that operators once used inside.
+CLASH_UPPER = "ID string, T string, Chunk int, Language int, Digests int, Main_Text string, NGRAM_T string, ngram_class int, Row_Host string, _M int, _m_k0 string, _mhv0 int, Class_Id string, N_Links string, N_Lines int, Keep_Runs string, Lang_Pred int, Part int, Seed int, Label int, H int, At int, Bits string"
 
-def frame(spark, texts=None):
+
+def frame(spark, texts=None, clash=CLASH):
     """doc_id, text and columns whose names clash with outputs and with what operators use inside."""
-    extra = [c.split() for c in CLASH.split(", ")]
+    extra = [c.split() for c in clash.split(", ")]
     rows = [(i, t, *["1" if k == "string" else 1 for _, k in extra]) for i, t in (TEXTS if texts is None else texts)]
-    return spark.createDataFrame(rows, f"doc_id long, text string, {CLASH}").repartition(3)
+    return spark.createDataFrame(rows, f"doc_id long, text string, {clash}").repartition(3)
 
 
 def pairs(spark, texts):

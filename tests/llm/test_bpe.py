@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 
 from loomspan.llm import bpe
-from tests.llm.cases import TEXTS, frame, pairs
+from tests.llm.cases import CLASH_UPPER, TEXTS, frame, pairs
 
 PATH = tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -65,6 +65,7 @@ def test_small_groups_and_store(theirs, monkeypatch):
 
 
 def test_rows(spark, theirs):
+    assert "Digests" in bpe.bpe_digests(frame(spark, clash=CLASH_UPPER), PATH, tokenizers.PATTERN).columns
     made = bpe.bpe_digests(frame(spark), PATH, tokenizers.PATTERN).collect()
     assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in made) == sorted(expected(theirs, t) for _, t in TEXTS)
     assert bpe.bpe_digests(pairs(spark, []), PATH, tokenizers.PATTERN).count() == 0

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from loomspan.llm import decontaminate
+from loomspan.llm import common, decontaminate
 from tests.llm.cases import TEXTS, frame, pairs, sentence
 
 ITEMS = [(1, " ".join(sentence(1, 120).split()[20:60])), (2, "too short to count here"), (3, None), (4, ""), (5, sentence(77, 30)), (None, sentence(78, 12)), (5, sentence(79, 9)), (7, sentence(80, 8))]
@@ -66,9 +66,12 @@ def test_masks_hit_all_allowed_windows():
 
 
 def test_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "small_enough", lambda *a: False)
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    assert result(pairs(spark, planted()), benchmark(spark)) == brute(planted(), ITEMS)
+    """Whatever the counts say, seeds, hits and items are joined by shuffles; with hot items and without."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    texts = planted() + [(None, planted()[0][1]), (None, None), (100, planted()[0][1])]
+    assert result(pairs(spark, texts), benchmark(spark)) == brute(texts, ITEMS)
+    monkeypatch.setattr(common, "HOT_SHARE", 0)
+    assert result(pairs(spark, texts), benchmark(spark)) == brute(texts, ITEMS)
 
 
 def test_clean_documents_stay(spark):

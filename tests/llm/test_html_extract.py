@@ -62,6 +62,58 @@ def test_other_layouts(model, around):
     assert text == "Head line\nFirst words of the article, which go on for a while.\nLast words of the article, and that is that."
 
 
+#: Layouts that training doesn't know: (page, lines). {} stands for running text.
+RUNNING = "Some words of the article, which go on for a while, and then some more of them follow here."
+UNSEEN = {
+    "topics in an article's class": ('<body><nav><ul><li><a href=x>Home</a></li></ul></nav><article class="post tag-news category-ad"><p>{}</p><ul><li>item one is here</li><li>item two</li></ul></article></body>', ["{}", "item one is here", "item two"]),
+    "a header in the article": ("<body><article><header><h1>Real title</h1></header><p>{}</p><p>{} x</p></article></body>", ["Real title", "{}", "{} x"]),
+    "a paragraph that is a link": ('<body><article><h1>T one</h1><p>{}</p><p><a href="x">A paragraph that is one link</a></p><p>{} y</p></article></body>', ["T one", "{}", "A paragraph that is one link", "{} y"]),
+    "text without markup": ("{} {}", ["{} {}"]),
+    "text in the body": ("<body>{}<br>{}</body>", ["{} {}"]),
+    "a foot without a name": ("<body><div><h1>T one</h1><p>{}</p><p>{} z</p></div><div>Copyright 2020 All rights reserved</div></body>", ["T one", "{}", "{} z"]),
+    "a foot in another language": ('<body><div><h1>T one</h1><p>{}</p><p>{} z</p></div><div id="fusszeile">Some words at the foot</div></body>', ["T one", "{}", "{} z"]),
+    "comments as articles": ('<body><main><h1>Title</h1><p>{}</p><p>{} b</p></main><section id="comments"><h2>Comments</h2><article class="comment"><p>I like this very much, thanks for it.</p></article></section></body>', ["Title", "{}", "{} b"]),
+    "a table for the layout": ("<table><tr><td><a href=a>one</a><br><a href=b>two</a></td><td><h1>Title</h1><p>{}</p><p>{} c</p></td></tr></table>", ["Title", "{}", "{} c"]),
+    "a blog": ('<div id="page"><header id="masthead"><p>My site</p></header><div id="content"><div class="entry-content"><h2>Sub</h2><p>{}</p><blockquote>Quoted words stand here</blockquote><p>{} d</p><div class="sharedaddy"><ul><li><a href=1>Tweet</a></li></ul></div></div></div><div id="secondary" class="widget-area"><h3>Recent</h3><ul><li><a href=1>One post</a></li></ul></div><footer id="colophon"><p>Proudly powered</p></footer></div>', ["Sub", "{}", "Quoted words stand here", "{} d"]),
+    "a listing": ("<main><h1>How to</h1><p>{}</p><pre>x = 1\ny = 2</pre><p>{}</p></main><footer>foot words</footer>", ["How to", "{}", "x = 1 y = 2", "{}"]),
+    "an article shorter than what is beside it": ("<nav><ul><li><a href=1>Home</a></li><li><a href=1>About</a></li></ul></nav><article><h1>Tiny</h1><p>Just a few words.</p></article><aside><p>Some side text that is longer than the article itself, by far, and goes on and on.</p></aside><footer>c</footer>", ["Tiny", "Just a few words."]),
+    "columns without names": ('<div class="container"><div class="col-8"><h1>Head</h1><p>{}</p><form class="newsletter"><p>Sign up for news</p><input><button>Go</button></form><p>{} e</p></div><div class="col-4"><h4>Trending</h4><ul><li><a href=1>A thing</a></li><li><a href=2>B thing</a></li></ul></div></div>', ["Head", "{}", "{} e"]),
+    "terms": ("<article><h1>Words</h1><p>{}</p><dl><dt>Term</dt><dd>What it means, in some words</dd></dl></article>", ["Words", "{}", "Term", "What it means, in some words"]),
+    "divisions for paragraphs": ('<div class="post-body"><div>{}</div><div>{} f</div></div><div class="related-posts"><a href=1>Other one</a></div>', ["{}", "{} f"]),
+}
+
+
+@pytest.mark.parametrize("layout", UNSEEN)
+def test_unseen_layouts(model, layout):
+    page, lines = UNSEEN[layout]
+    assert html_extract.main_text(page.replace("{}", RUNNING), model) == "\n".join(lines).replace("{}", RUNNING)
+
+
+def test_labels_of_made_up_pages_are_learned(spark, model):
+    """Held-out pages of the generator: nearly all words are judged as labelled."""
+    texts = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(8).collect()]
+    right = whole = 0
+    for page in html_extract.training_pages(texts[::-1]):
+        nodes, runs, labels = blocks(page)
+        known = list(labels) if any(labels) else ["1"] * len(nodes)
+        for i in range(1, len(nodes)):
+            known[i] = labels[i] or known[nodes[i].parent]
+        kept = html_extract.main_text(page, model).split("\n")
+        for i, text in runs:
+            if known[i] in ("0", "1"):
+                whole += len(text)
+                right += len(text) * ((text in kept) == (known[i] == "1"))
+    assert right >= 0.93 * whole, right / whole
+
+
+def test_clashing_columns_and_long_pages(spark, model):
+    rows = [(1, "<article><p>" + "word " * 200_000 + "</p></article>" + "<nav><a>x</a></nav>" * 1000), (None, "<article><p>Words to read, some more of them.</p></article>"), (1, None)]
+    df = spark.createDataFrame([(*r, "u", "x", 1, 2) for r in rows], "page_id long, html string, url string, MAIN_TEXT string, N_Chars int, Text int")
+    got = html_extract.extracted(df, model)
+    assert [c for c in got.columns if c.lower() in ("text", "n_chars")] == ["text", "n_chars"] and "MAIN_TEXT" in got.columns
+    assert sorted(r.n_chars for r in got.collect()) == [0, len("Words to read, some more of them."), 999_999]
+
+
 def test_odd_rows(spark, model):
     rows = [(1, None, "u"), (2, "", "u"), (3, "<p></p>", "u"), (3, "<p></p>", "u"), (4, "<article><p>" + "word " * 50_000 + "</p></article>", None)]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "page_id long, html string, url string, n_chars int, main_text string")

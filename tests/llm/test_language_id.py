@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomspan.llm import language_id
 from loomspan.llm import queries
 from tests.conftest import DATA
-from tests.llm.cases import TEXTS, frame, pairs
+from tests.llm.cases import CLASH_UPPER, TEXTS, frame, pairs
 
 
 def test_held_out_accuracy(spark):
@@ -53,6 +53,9 @@ def test_cases(spark):
     assert language_id.identify_language(pairs(spark, [(1, "a")]), {}).first().lang_pred == "und"
     assert language_id.identify_language(pairs(spark, []), profiles).count() == 0
     assert language_id.fit_profiles(spark.createDataFrame([], "text string, lang string")) == {}
+    for clash in (CLASH_UPPER, CLASH_UPPER.lower()):
+        out = language_id.identify_language(frame(spark, clash=clash), profiles)
+        assert out.count() == len(TEXTS) and {"language", "digests"} <= {c.lower() for c in out.columns}
     assert language_id.identify_language(frame(spark), profiles).count() == len(TEXTS)
 
 

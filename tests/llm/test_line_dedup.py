@@ -1,8 +1,9 @@
 import string
 from collections import Counter
 
+from loomspan.llm import common
 from loomspan.llm.line_dedup import kept_text, line_keep_runs
-from tests.llm.cases import TEXTS, frame, pairs
+from tests.llm.cases import CLASH_UPPER, TEXTS, frame, pairs
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -32,6 +33,21 @@ def result(df, least):
 
 def test_odd_rows(spark):
     assert result(frame(spark), 3) == brute(TEXTS, 3)
+    assert result(frame(spark, clash=CLASH_UPPER), 3) == brute(TEXTS, 3)
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    """Frequent digests and run lengths are joined by shuffles."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    texts = TEXTS + [(300 + k, f"hot line\nown {k}\n hot LINE\nhot line") for k in range(200)] + [(301, "other text of 301\nhot line"), (None, "hot line")]
+    assert result(pairs(spark, texts), 3) == brute(texts, 3)
+
+
+def test_the_first_occurrence_can_be_kept(spark):
+    texts = [(5, "a\nb\na"), (3, "b\nx\nb\nb"), (9, "A\nb"), (4, "y\nz"), (None, "q\nQ"), (1, "q")]
+    rows = line_keep_runs(pairs(spark, texts), min_docs=2, keep_first=True)
+    kept = {r[0]: r[1] for r in rows.select("doc_id", kept_text(rows["text"], rows["keep_runs"])).collect()}
+    assert kept == {5: "a", 3: "b\nx", 9: "", 4: "y\nz", None: "q", 1: ""}
 
 
 def test_accents_differ_but_ascii_case_does_not(spark):

@@ -1,10 +1,11 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
-from loomspan.llm import ngram_join
+from loomspan.llm import common, ngram_join
 from loomspan.llm.stars import components
-from tests.llm.cases import TEXTS, frame, near, pairs, sentence
+from tests.llm.cases import CLASH_UPPER, TEXTS, frame, near, pairs, sentence
 
 
 def grams(text, n=5):
@@ -40,6 +41,34 @@ def result(df):
 
 def test_odd_rows(spark):
     assert result(frame(spark)) == brute(TEXTS)
+    assert result(frame(spark, clash=CLASH_UPPER)) == brute(TEXTS)
+
+
+def test_without_broadcasts_and_with_hot_keys(spark, monkeypatch):
+    """Texts, components and buckets are joined by shuffles; first every key is hot, then none is."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    base = sentence(31, 60)
+    texts = TEXTS[:12] + [(400 + k, base) for k in range(40)] + [(500 + k, near(base, k)) for k in range(30)] + [(600 + k, None) for k in range(40)]
+    for share in (10**6, 0, 8):
+        monkeypatch.setattr(common, "HOT_SHARE", share)
+        assert result(pairs(spark, texts)) == brute(texts)
+
+
+def test_blocks_are_bounded_by_length(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_CHARS", 3000)
+    base = sentence(41, 150)
+    texts = [(i, near(base, 3 * i)) for i in range(20)]
+    assert result(pairs(spark, texts)) == brute(texts)
+
+
+def test_one_of_each_keeps_all_columns(spark):
+    df = frame(spark, clash=CLASH_UPPER)
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    expected = Counter()
+    for (i, c, _), times in brute(TEXTS).items():
+        expected[i] += times * (c is None or i == c)
+    assert Counter(r.doc_id for r in kept.collect()) == +expected
 
 
 def test_a_large_group_is_done_in_blocks(spark, monkeypatch):
@@ -74,7 +103,7 @@ def test_pruning_keeps_pairs_at_the_threshold():
         sigs = np.stack([ngram_join.signature(np.sort(a)), ngram_join.signature(np.sort(b))])
         words = sigs.view(np.uint32)[:, : ngram_join.BANDS]
         bands = np.flatnonzero(words[0] == words[1])
-        kept += bool(len(bands)) and len(ngram_join.surviving(sigs, np.zeros(2, int), int(bands[0]), 0.8)[0]) == 1
+        kept += bool(len(bands)) and len(ngram_join.surviving(pd.DataFrame({"band": bands[0], "i": 0, "j": 0, "side": [0, 0]}), sigs, 0.8)[0]) == 1
     assert kept == 300
     fewest = ngram_join.fewest_matches(0.8)
     assert list(fewest) == sorted(fewest) and fewest[-1] > 60

@@ -51,6 +51,28 @@ def test_odd_rows(spark):
     assert result(frame(spark, texts)) == brute(texts)
 
 
+def test_a_very_long_text_and_the_largest_id(spark):
+    long = sentence(61, 30_000)
+    texts = [(2**63 - 1, long[1000:3000]), (5, long), (None, long[:500]), (6, "x" * 120_000), (7, "x" * 60), (8, long[50_000:50_200])]
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(pairs(spark, texts)).collect()}
+    gone = {i: [(s.start, s.end) for s in r.spans] for i, r in got.items()}
+    assert gone == {2**63 - 1: [(0, 2000)], 5: [], None: [(0, 500)], 6: [], 7: [(0, 60)], 8: [(0, 200)]}
+    assert got[5].n_bytes == len(long) and bytes(got[6].kept) == b"x" * 120_000
+
+
+def test_rows_sent_grow_in_proportion():
+    for total in (0, 10**9, 10**12, 10**14):
+        chunks, buckets = suffix_dedup.pieces_of(total)
+        assert chunks * buckets <= max(1, total / 100) and total / chunks < 2 << 27
+    assert suffix_dedup.pieces_of(10**9) == (239, 239)
+
+
+def test_bytes_decide():
+    text = b"abcdefghijklmnopqrstuvwxyz" * 2 + b"abcdefghijklmnoXqrstuvwxyz" + bytes(8)
+    a, b = np.array([0, 0, 0, 5]), np.array([26, 52, 52, 57])
+    assert suffix_dedup._equal_bytes(text, a, b, np.array([26, 15, 16, 10])).tolist() == [True, True, False, True]
+
+
 def test_empty_table(spark):
     assert suffix_dedup.repeated_spans(pairs(spark, [])).count() == 0
 
