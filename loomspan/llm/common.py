@@ -116,15 +116,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: dict[str, Column], valu
     return out.select(*without(left, *values), *found)
 
 
-def sifted(df: DataFrame, code: Column, codes: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose 64-bit hash ``code`` may be among those of ``codes`` (its first column): all that are, and
-    few others. The hashes set bits of a map of 2^20 words of 64 bits, which is broadcast: a million rows at most, however
-    many hashes there are."""
+def maybe_among(df: DataFrame, code: Column, codes: DataFrame, name: str) -> DataFrame:
+    """``df`` with a flag ``name``: whether its 64-bit hash ``code`` may be among those of ``codes`` (its first column). It is
+    true for all that are, and few others. The hashes set bits of a map of 2^20 words of 64 bits, which is broadcast: a
+    million rows at most, however many hashes there are."""
     m = marker(df)
     word = lambda c: F.shiftrightunsigned(c, 44)
     bit = lambda c: F.pmod(c, F.lit(64)).cast("int")
     given = F.col(codes.columns[0])
     words = written(codes.groupBy(word(given).alias(f"{m}word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(given))).alias(f"{m}bits")))
     coded = df.withColumn(f"{m}code", code)
-    met = coded.join(F.broadcast(words), word(F.col(f"{m}code")) == F.col(f"{m}word"))
-    return met.where(F.getbit(f"{m}bits", bit(F.col(f"{m}code"))) == 1).select(*[named(c) for c in df.columns])
+    met = coded.join(F.broadcast(words), word(F.col(f"{m}code")) == F.col(f"{m}word"), "left")
+    flag = F.coalesce(F.getbit(f"{m}bits", bit(F.col(f"{m}code"))) == 1, F.lit(False))
+    return met.select(*[named(c) for c in df.columns], flag.alias(name))
+
+
+def sifted(df: DataFrame, code: Column, codes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``code`` may be among ``codes``, as ``maybe_among`` tells."""
+    flag = fresh(df, "may")
+    return maybe_among(df, code, codes, flag).where(F.col(flag)).drop(flag)

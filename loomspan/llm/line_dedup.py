@@ -9,7 +9,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import marker, small_enough, without, written
+from .common import marker, maybe_among, small_enough, without, written
 
 #: White space stripped at both ends of a line: space and U+0009 to U+000D.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -81,15 +81,16 @@ def line_keep_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_
     with a null doc_id count together as one document); repeated rows each get a row; an empty table gives no rows;
     extra columns pass through, and one named like an output is replaced.
 
-    Only run lengths come back from ``dropped_runs``; they meet their document by a broadcast if they are few and short
-    (both counted), else by a join on the id and a hash of the text.
+    Only run lengths come back from ``dropped_runs``, keyed by the id and a hash of the text. A bitmap of these keys, whose
+    size is bounded, tells the documents that may lose a line: those alone are shuffled to meet their run lengths.
     """
     m = marker(docs)
     told = written(dropped_runs(docs, min_docs, min_chars, keep_first, doc_id, text))
-    few = small_enough(told, weight=1 + F.size("runs") / 8)
     told = told.select(F.col("doc").alias(f"{m}doc"), F.col("version").alias(f"{m}version"), F.col("runs").alias(f"{m}runs"), F.col("n_dropped").alias(f"{m}gone"))
     held = docs.withColumn(f"{m}hash", F.xxhash64(F.col(text)))
-    out = held.join(F.broadcast(told) if few else told, F.col(doc_id).eqNullSafe(F.col(f"{m}doc")) & (F.col(f"{m}hash") == F.col(f"{m}version")), "left")
+    held = maybe_among(held, F.xxhash64(F.col(doc_id), F.col(f"{m}hash")), told.select(F.xxhash64(f"{m}doc", f"{m}version").alias("code")), f"{m}may")
+    met = held.where(F.col(f"{m}may")).join(told, F.col(doc_id).eqNullSafe(F.col(f"{m}doc")) & (F.col(f"{m}hash") == F.col(f"{m}version")), "left")
+    out = met.unionByName(held.where(~F.col(f"{m}may")), allowMissingColumns=True)
     whole = F.coalesce(F.col(text), F.lit(""))
     n_lines = (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("int")
     out = out.withColumn(f"{m}n", n_lines)
