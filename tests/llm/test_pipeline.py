@@ -54,3 +54,24 @@ def test_one_copy_of_each_text_is_left_by_the_line_stage(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, DATA).collect()}
     assert {i: t for i, t in got.items() if t[0].strip()} == {i: (t, len(t)) for i, t in ((7, "its own line"), (8, "seldom"), (77, texts[1]), (78, texts[0]))}
     assert not {100 - k for k in range(0, 22, 2)} & set(got)
+
+
+def test_the_language_stage_rejects_other_languages_and_keeps_clean_texts(spark):
+    """Texts in scripts of none of the languages go; short and odd texts in one of them stay."""
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = [tuple(r) for r in table.orderBy("doc_id").collect()]
+    top = max(r[0] for r in docs)
+    odd = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί", "敏捷的棕色狐狸跳过懒狗", "12 34", None, "", "The."]
+    rows = docs + [(top + 1 + k, t, None, None, None) for k, t in enumerate(odd)]
+    kept = {r.doc_id for r in corpus_pipeline.languages(spark, spark.createDataFrame(rows, table.schema), DATA).collect()}
+    assert kept == {r[0] for r in docs if r[1] and any(c.isalpha() for c in r[1])} | {top + 6}
+
+
+def test_further_columns_pass_through(spark):
+    table = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    names = ["Score", "Lang_Pred", "KEEP_RUNS", "n_lines", "left_x", "Class_Id", "N_Links", "leaked", "_m1"]
+    wide = table.select("*", *[(table.doc_id + k).alias(n) for k, n in enumerate(names)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DATA)
+        assert out.columns == wide.columns
+        assert all(r[n] == r["doc_id"] + k for r in out.collect() for k, n in enumerate(names))
