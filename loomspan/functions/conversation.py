@@ -54,5 +54,12 @@ def last_system(messages: Column) -> Column:
     return F.when(F.size(system) > 0, F.element_at(system, -1)["content"])
 
 
+def split_request(messages: Column, question: Column, default: str = "You are a helpful AI assistant.") -> Column:
+    """JSON of the last system prompt (or a default) and of all other messages with the question after them."""
+    others = F.filter(messages, lambda m: m["role"] != "system")
+    system = F.coalesce(F.nullif(last_system(messages), F.lit("")), F.lit(default))
+    return F.to_json(F.struct(system.alias("system"), F.concat(others, F.array(message(F.lit("user"), question))).alias("messages")))
+
+
 def mock_reply(question: Column, turn: Column, model: str = "mock") -> Column:
     return F.format_string(f"[MOCK {model.upper().replace('%', '%%')}] Turn %d response to: %s", turn, question)

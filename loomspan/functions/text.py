@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: The code points for which str.isspace() is true.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
-_SPACE_RUN = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in SPACES) + "]+"
+#: The same as ranges, which the JVM's matcher tells faster than single code points.
+_SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE_RUN = f"[{_SPACE}]+"
 
 
 def strip(text: Column) -> Column:
@@ -21,9 +23,8 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """``len(str.split())``, without looking at the words one by one."""
-    bare = strip(text)
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, _SPACE_RUN, -1)))
+    """``len(str.split())``: runs of what isn't white space are counted, without an array of them."""
+    return F.regexp_count(text, F.lit(f"[^{_SPACE}]++"))
 
 
 #: Set before every run of cased letters while a text is title-cased; a noncharacter, which texts don't hold.

@@ -80,8 +80,8 @@ class Call:
 
 @dataclass(frozen=True)
 class NodeType:
-    """``inputs``: port -> whether it is required. ``outputs``: ports. ``params``: defaults. ``streams``: whether its
-    reply is told in chunks."""
+    """``inputs``: port -> whether it is required. ``outputs``: ports. ``params``: their defaults. ``streams``: whether its
+    reply is told in chunks. ``defaults``: what a required port has where nothing is connected."""
 
     name: str
     category: str
@@ -90,6 +90,39 @@ class NodeType:
     build: Callable[[Call], Built]
     params: dict[str, Any] = field(default_factory=dict)
     streams: bool = False
+    defaults: dict[str, str] = field(default_factory=dict)
+
+
+class NodeClass:
+    """A node type written as a class, for plugins: its attributes are those of ``NodeType``, its name is NODE_TYPE or else
+    the class's name in lower case without "node"."""
+
+    category = "Custom"
+    inputs: dict[str, bool] = {}
+    outputs: tuple[str, ...] = ()
+    params: dict[str, Any] = {}
+    streams = False
+    defaults: dict[str, str] = {}
+
+    @staticmethod
+    def build(call: Call) -> Built:
+        raise NotImplementedError
+
+    @classmethod
+    def as_type(cls) -> NodeType:
+        name = getattr(cls, "NODE_TYPE", None) or cls.__name__.lower().replace("node", "")
+        return NodeType(name, cls.category, cls.inputs, cls.outputs, cls.build, cls.params, cls.streams, cls.defaults)
+
+
+def _types_in(module: Any) -> list[NodeType]:
+    """The node types that a module defines, as values or as classes."""
+    found = []
+    for v in vars(module).values():
+        if isinstance(v, NodeType):
+            found.append(v)
+        elif isinstance(v, type) and issubclass(v, NodeClass) and v is not NodeClass and v.__module__ == module.__name__:
+            found.append(v.as_type())
+    return found
 
 
 class Registry(dict):
@@ -110,14 +143,14 @@ class Registry(dict):
         return True
 
     def discover(self, package: str) -> list[str]:
-        """Registers every NodeType found in the modules of a package; modules that start with ``_`` are left out."""
+        """Registers every node type found in the modules of a package and of packages inside it; modules that start with
+        ``_`` are left out."""
         found = []
         root = importlib.import_module(package)
-        for info in pkgutil.iter_modules(root.__path__):
-            if info.name.startswith("_"):
+        for info in pkgutil.walk_packages(root.__path__, f"{package}."):
+            if any(part.startswith("_") for part in info.name.split(".")):
                 continue
-            module = importlib.import_module(f"{package}.{info.name}")
-            found += [v.name for v in vars(module).values() if isinstance(v, NodeType) and self.register(v)]
+            found += [t.name for t in _types_in(importlib.import_module(info.name)) if self.register(t)]
         return found
 
     def load_manifest(self, path: str) -> list[str]:
@@ -130,7 +163,7 @@ class Registry(dict):
         spec = importlib.util.spec_from_file_location(f"plugin_{told['name'].replace('-', '_')}", os.path.join(os.path.dirname(path), told["entry_point"]))
         module = importlib.util.module_from_spec(spec)
         spec.loader.exec_module(module)
-        return [v.name for v in vars(module).values() if isinstance(v, NodeType) and self.register(v)]
+        return [t.name for t in _types_in(module) if self.register(t)]
 
     def specs(self, spark: SparkSession) -> DataFrame:
         rows = [(t.name, t.category, sorted(t.inputs), sorted(p for p, r in t.inputs.items() if r), list(t.outputs), {k: str(v) for k, v in t.params.items()}) for t in self.values()]

@@ -21,11 +21,46 @@ def _transform(call: Call) -> Built:
     return Built({"output": Value(operation(text))}, error)
 
 
-def _java_pattern(spark: SparkSession, pattern: str) -> str | None:
-    """The pattern for Spark's regular expressions, with Unicode classes; null if they don't take it."""
-    java = "(?U)" + re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
-    if re.search(r"\(\?P=|\(\?\(|\\Z|\(\?[aLux]", pattern):
+#: Python's classes in Java's words, for use inside brackets; and what Java's engine reads differently or not at all.
+_CLASSES = {"s": r"\s\x1c-\x1f", "w": r"\p{L}\p{N}_", "d": r"\p{Nd}"}
+_WORD = "[" + _CLASSES["w"] + "]"
+_OTHER_MEANING = re.compile(r"\(\?P=|\(\?\(|\(\?[aLux]|\\[ZNuU]|\(\?[imsx-]*i[imsx-]*\)(?s:.*)[^\x00-\x7f]|(?s:.*)[^\x00-\x7f](?s:.*)\(\?[imsx-]*i")
+
+
+def java_pattern(spark: SparkSession, pattern: str) -> str | None:
+    """The pattern for Spark's regular expressions, with Python's meaning of classes, word borders and line ends (only a
+    newline ends a line); null where that can't be said, and for sets in sets, whose signs mean something else in Java."""
+    if _OTHER_MEANING.search(pattern):
         return None
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        c, two = pattern[k], pattern[k : k + 2]
+        k += 1
+        if c == "\\":
+            k += 1
+            kind = two[1:]
+            if kind.lower() in _CLASSES:
+                if inside and kind.isupper():
+                    return None
+                out.append(_CLASSES[kind] if inside else f"[{'^' * kind.isupper()}{_CLASSES[kind.lower()]}]")
+            elif kind in ("b", "B"):
+                if inside:
+                    return None
+                border = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+                out.append(border if kind == "b" else f"(?!{border})")
+            elif kind.isalpha() and kind not in "AafnrtvxX":
+                return None
+            else:
+                out.append({"a": "\\x07", "v": "\\x0b"}.get(kind, two))
+        elif inside:
+            if c == "[" or two == "&&":
+                return None
+            inside = c != "]" or pattern[k - 2] == "[" or pattern[k - 3 : k - 1] == "[^"
+            out.append("\\]" if inside and c == "]" else c)
+        else:
+            inside = c == "["
+            out.append(c)
+    java = "(?Ud)" + re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", "".join(out))
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
     except Exception:  # noqa: BLE001  the JVM's PatternSyntaxException
@@ -42,6 +77,19 @@ def _found_by_python(pattern: str) -> Column:
     return found
 
 
+def _hit(spark: SparkSession, text: Column, pattern: str) -> Column:
+    java = java_pattern(spark, pattern)
+    if java is not None:
+        return text.rlike(java)
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        compiled = re.compile(pattern)
+        return texts.map(lambda t: None if t is None else compiled.search(t) is not None)
+
+    return found(text)
+
+
 def _filter(call: Call) -> Built:
     """What a pattern finds, a line each, and what is left without it. A pattern that isn't valid is taken literally; one
     with several groups fails, as its matches aren't text."""
@@ -57,8 +105,8 @@ def _filter(call: Call) -> Built:
         hit = F.contains(text, F.lit(pattern))
         return Built({"matches": Value(F.when(hit, pattern).otherwise("")), "filtered": Value(F.replace(text, F.lit(pattern), F.lit("")))}, error)
     if compiled.groups > 1:
-        return Built({"matches": Value(F.lit("")), "filtered": Value(text)}, F.coalesce(error or F.lit(None), F.when(text.rlike(_java_pattern(call.spark, pattern) or pattern), "sequence item 0: expected str instance, tuple found")))
-    java = _java_pattern(call.spark, pattern)
+        return Built({"matches": Value(F.lit("")), "filtered": Value(text)}, F.coalesce(error or F.lit(None), F.when(_hit(call.spark, text, pattern), "sequence item 0: expected str instance, tuple found")))
+    java = java_pattern(call.spark, pattern)
     if java is None:
         both = _found_by_python(pattern)(text)
         return Built({"matches": Value(both["matches"]), "filtered": Value(both["filtered"])}, error)

@@ -118,3 +118,8 @@ class Graph:
         rows = [("input", n.id, i, f"input_{i}", str(n.params.get("label", "")).strip() or None, n.params.get("data_type", "text"), str(n.params.get("value", ""))) for i, n in enumerate(self.inputs(), 1)]
         rows += [("output", n.id, None, "result", n.params.get("label", "Output"), None, None) for n in self.outputs()]
         return spark.createDataFrame(rows, "direction string, node_id string, ordinal int, key string, label string, data_type string, default_value string")
+
+    def node_rows(self, spark: SparkSession) -> DataFrame:
+        """The graph's nodes as rows, to be joined with what executions tell."""
+        rows = [(self.name, n.id, n.type, str(n.params.get("label", "")).strip() or None) for n in self.nodes.values()]
+        return spark.createDataFrame(rows, "graph string, node_id string, node_type string, label string")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import conversation as talk
 from .functions.text import SPACES
-from .operators import context
-from .plans.compiler import Engine
+from .operators import chat, context
+from .plans.compiler import Engine, reduced
 from .plans.graph import Graph
+from .sources import catalog
 from .sources.shared import written
 from .sources.tables import table
 from .streaming import instances
@@ -225,23 +226,42 @@ def _talks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.transform(ordered, lambda x: x["m"]).alias("messages"))
 
 
-_SO_FAR = "list({'content': coalesce(text, ''), 'role': coalesce(role, '')} ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn)"
+def _escaped(text: str) -> str:
+    """SQL for a text inside JSON that is plain ASCII: what isn't is told by its UTF-16 units."""
+    unit = lambda x: f"'\\u' || printf('%04x', {x})"
+    named = " ".join(f"WHEN {ord(c)} THEN '\\{to}'" for c, to in zip('"\\\n\r\t\b\f', '"\\nrtbf', strict=True))
+    each = f"CASE unicode(c) {named} ELSE CASE WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) < 65536 THEN {unit('unicode(c)')} ELSE {unit('55296 + ((unicode(c) - 65536) >> 10)')} || {unit('56320 + ((unicode(c) - 65536) & 1023)')} END END"
+    return f"array_to_string(list_transform(string_split(coalesce({text}, ''), ''), lambda c: {each}), '')"
 
 
-@query(f"SELECT conv_id, turn, substr(sha256(to_json({_SO_FAR})::varchar), 1, 16) AS context_key FROM conversations")
+def _said(role: str, text: str) -> str:
+    """SQL for a message in the JSON of which keys are made; ``role`` and ``text`` are SQL."""
+    return f"""'{{"content":"' || {_escaped(text)} || '","role":"' || {_escaped(role)} || '"}}'"""
+
+
+def _key(messages: str) -> str:
+    return f"substr(sha256('[' || {messages} || ']'), 1, 16)"
+
+
+#: SQL for the messages of a conversation as JSON.
+_MESSAGES = f"(SELECT conv_id, turn, role, text, {_said('role', 'text')} AS m FROM conversations)"
+_SO_FAR = "array_to_string(list(m ORDER BY turn) OVER (PARTITION BY conv_id ORDER BY turn), ',')"
+
+
+@query(f"SELECT conv_id, turn, {_key(_SO_FAR)} AS context_key FROM {_MESSAGES}")
 def context_prefix_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = table(spark, sf_dir, "conversations")
     messages = F.collect_list(talk.message(F.col("role"), F.col("text"))).over(so_far)
-    return rows.withColumn("messages", messages).select("conv_id", "turn", talk.context_key(F.col("messages"), ascii_only=False).alias("context_key"))
+    return rows.withColumn("messages", messages).select("conv_id", "turn", talk.context_key(F.col("messages")).alias("context_key"))
 
 
 @query(
-    """WITH m AS (SELECT conv_id, substr(sha256(to_json(list({'content': coalesce(text, ''), 'role': coalesce(role, '')} ORDER BY turn))::varchar), 1, 16) AS context_key, count(*) AS n_messages FROM conversations GROUP BY conv_id)
+    f"""WITH m AS (SELECT conv_id, {_key("string_agg(m, ',' ORDER BY turn)")} AS context_key, count(*) AS n_messages FROM {_MESSAGES} GROUP BY conv_id)
     SELECT context_key, count(*) AS n_conversations, min(n_messages) AS n_messages FROM m GROUP BY context_key"""
 )
 def context_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _talks(spark, sf_dir).select(talk.context_key(F.col("messages"), ascii_only=False).alias("context_key"), F.size("messages").cast("long").alias("n_messages"))
+    keyed = _talks(spark, sf_dir).select(talk.context_key(F.col("messages")).alias("context_key"), F.size("messages").cast("long").alias("n_messages"))
     return keyed.groupBy("context_key").agg(F.count(F.lit(1)).alias("n_conversations"), F.min("n_messages").alias("n_messages"))
 
 
@@ -292,13 +312,81 @@ def _continued(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT conv_id, list({'content': coalesce(text, ''), 'role': coalesce(role, '')} ORDER BY turn) AS m, count(*) FILTER (WHERE role = 'user') + 1 AS n FROM conversations GROUP BY conv_id),
-    r AS (SELECT conv_id, '[MOCK DEMO] Turn ' || n || ' response to: go on' AS response, m FROM l)
-    SELECT conv_id, response, (len(m) + 2)::varchar AS message_count, substr(sha256(to_json(list_concat(m, [{'content': 'go on', 'role': 'user'}, {'content': response, 'role': 'assistant'}]))::varchar), 1, 16) AS context_key FROM r"""
+    f"""WITH l AS (SELECT conv_id, string_agg(m, ',' ORDER BY turn) AS m, count(*) AS size, count(*) FILTER (WHERE role = 'user') + 1 AS n FROM {_MESSAGES} GROUP BY conv_id),
+    r AS (SELECT conv_id, '[MOCK DEMO] Turn ' || n || ' response to: go on' AS response, m, size FROM l)
+    SELECT conv_id, response, (size + 2)::varchar AS message_count, {_key("m || ',' || " + _said("'user'", "'go on'") + " || ',' || " + _said("'assistant'", "response"))} AS context_key FROM r"""
 )
 def chat_continue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One more turn of every conversation by the chat node."""
-    return _continued(spark, sf_dir).select("conv_id", F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), talk.context_key(F.col("m.result"), ascii_only=False).alias("context_key"))
+    return _continued(spark, sf_dir).select("conv_id", F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), F.col("context_token").alias("context_key"))
+
+
+def _asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation the first and the last text."""
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+
+
+def _chat_graph() -> Graph:
+    return Graph.of(
+        "talk",
+        {"m": ("input", {"label": "message"}), "k": ("input", {"label": "_context"}), "chat": ("immutable_chat", {"model": "demo"}), "r": ("output", {}), "n": ("output", {})},
+        [("m.output", "chat.message"), ("k.output", "chat.context_key"), ("chat.response", "r.input"), ("chat.message_count", "n.input")],
+    )
+
+
+def _turn(rows: DataFrame, contexts: DataFrame | None, message: str) -> DataFrame:
+    """One turn of every conversation, by a graph whose chat loads the context that the row names."""
+    given = rows.withColumn("message", F.col(message))
+    done = Engine(contexts=contexts).run(_chat_graph(), given)
+    return done.select(*rows.columns, F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), F.col("context_token").alias("context_key"), "context_write")
+
+
+_START = _said("'system'", "'You are a helpful AI assistant.'")
+_TWO_TURNS = f"""f AS (SELECT conv_id, arg_min(text, turn) AS q1, arg_max(text, turn) AS q2 FROM conversations GROUP BY conv_id),
+    a AS (SELECT *, '[MOCK DEMO] Turn 1 response to: ' || q1 AS r1 FROM f), b AS (SELECT *, {_START} || ',' || {_said("'user'", "q1")} || ',' || {_said("'assistant'", "r1")} AS m1 FROM a)"""
+
+
+@query(
+    f"""WITH {_TWO_TURNS}, c AS (SELECT *, '[MOCK DEMO] Turn 2 response to: ' || q2 AS r2 FROM b)
+    SELECT conv_id, r2 AS response, '5' AS message_count, {_key("m1 || ',' || " + _said("'user'", "q2") + " || ',' || " + _said("'assistant'", "r2"))} AS context_key FROM c WHERE q1 <> '' AND q2 <> ''
+    UNION ALL SELECT conv_id, 'Error: No message provided', '0', {_key("m1")} FROM b WHERE q1 <> '' AND coalesce(q2, '') = ''"""
+)
+def chat_two_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of a chat graph: the second is given the first one's key alone, and loads its messages from the contexts
+    that the first run wrote. Conversations whose first text is empty have no first turn."""
+    first = written(_turn(_asked_twice(spark, sf_dir).where("first <> ''").withColumn("_context", F.lit(None).cast("string")), None, "first"))
+    contexts = first.select("context_write.*").dropDuplicates(["context_key"])
+    return _turn(first.select("conv_id", "last", F.col("context_key").alias("_context")), contexts, "last").select("conv_id", "response", "message_count", "context_key")
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, list(m ORDER BY turn) AS m, list(role ORDER BY turn) AS roles, conv_id % 3 AS act FROM {_MESSAGES} GROUP BY conv_id),
+    t AS (SELECT conv_id, act, CASE WHEN act = 2 THEN [] WHEN act = 1 AND len(m) > 2 THEN m[1:len(m) - 2] ELSE m END AS m, CASE WHEN act = 1 AND len(m) > 2 THEN roles[1:len(roles) - 2] ELSE roles END AS roles FROM s),
+    u AS (SELECT conv_id, CASE WHEN act = 2 THEN {_START} ELSE array_to_string(m, ',') END AS m, CASE WHEN act = 2 THEN 1 ELSE len(m) END AS size,
+      '[MOCK DEMO] Turn ' || (CASE WHEN act = 2 THEN 0 ELSE len(list_filter(roles, lambda r: r = 'user')) END + 1) || ' response to: and now' AS response FROM t)
+    SELECT conv_id, response, (size + 2)::varchar AS message_count, {_key("m || ',' || " + _said("'user'", "'and now'") + " || ',' || " + _said("'assistant'", "response"))} AS context_key FROM u"""
+)
+def chat_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is a stored context; a third of them is continued, a third rewound by a turn first, a third begun
+    anew."""
+    stored = written(_talks(spark, sf_dir).select("conv_id", talk.context_key(F.col("messages")).alias("context_key"), "messages"))
+    act = F.element_at(F.array(*map(F.lit, ("continue", "rewind", "new"))), (F.col("conv_id") % 3 + 1).cast("int"))
+    asked = stored.select("conv_id", act.alias("action"), F.col("context_key").alias("context_id"), F.col("conv_id").cast("string").alias("conversation_id"), F.lit(1).alias("rewind_steps"), F.lit("and now").alias("question"))
+    contexts = stored.select("context_key", "messages")
+    ready, made = chat.acted(asked, contexts)
+    done = _turn(ready.select("conv_id", "question", "_context"), chat.merged_contexts(contexts, made), "question")
+    return done.select("conv_id", "response", "message_count", "context_key")
+
+
+@query(
+    f"""WITH {_TWO_TURNS} SELECT conv_id, r1 AS content, 'completed' AS status, 7::bigint AS n_events FROM b WHERE q1 <> ''
+    UNION ALL SELECT conv_id, 'Error: No message provided', 'completed', 7::bigint FROM b WHERE coalesce(q1, '') = ''"""
+)
+def chat_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client shows of the events of a chat on each conversation's first text."""
+    rows = _asked_twice(spark, sf_dir).select("conv_id", F.col("first").alias("message"))
+    events = Engine().events(_chat_graph(), rows, ["conv_id"])
+    return reduced(events, "conv_id").select("conv_id", "content", "status", "n_events")
 
 
 @query(
@@ -365,7 +453,7 @@ def context_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH k AS (SELECT turn, substr(sha256(to_json({_SO_FAR})::varchar), 1, 16) AS context_key FROM conversations)
+    f"""WITH k AS (SELECT turn, {_key(_SO_FAR)} AS context_key FROM {_MESSAGES})
     SELECT context_key, min(turn) AS turn FROM k WHERE context_key NOT IN (SELECT context_key FROM k WHERE turn % 2 = 0) GROUP BY context_key"""
 )
 def context_insert_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,42 +469,19 @@ def _tokens(rows: DataFrame) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations)
-    SELECT conv_id, '[MOCK MOCK] Turn 1 response to: ' || text AS response, substr(sha256('[{"content":"You are a helpful AI assistant.","role":"system"},{"content":' || to_json(text)::varchar || ',"role":"user"},{"content":' || to_json('[MOCK MOCK] Turn 1 response to: ' || text)::varchar || ',"role":"assistant"}]'), 1, 16) AS context_key
-    FROM t WHERE r = 1 AND text <> '' AND regexp_full_match(text, '[ -~\\n]*')"""
+    f"""WITH t AS (SELECT conv_id, arg_max(text, turn) AS q FROM conversations GROUP BY conv_id), a AS (SELECT *, '[MOCK MOCK] Turn 1 response to: ' || q AS r FROM t)
+    SELECT conv_id, CASE WHEN q <> '' THEN r ELSE 'Error: No message provided' END AS response, CASE WHEN q <> '' THEN {_key(_START + " || ',' || " + _said("'user'", "q") + " || ',' || " + _said("'assistant'", "r"))} ELSE 'empty' END AS context_key FROM a"""
 )
 def context_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token that a chat graph hands on, for last messages in plain ASCII."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message")).where((F.col("message") != "") & F.col("message").rlike(r"^[ -~\n]*\z"))
-    return _tokens(rows)
-
-
-@query()
-def context_prefix_key_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``context_prefix_key`` with the default key, of JSON in ASCII, for every message."""
-    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    messages = F.collect_list(talk.message(F.col("role"), F.col("text"))).over(so_far)
-    return table(spark, sf_dir, "conversations").withColumn("messages", messages).select("conv_id", "turn", talk.context_key(F.col("messages")).alias("context_key"))
-
-
-@query()
-def context_dedupe_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = _talks(spark, sf_dir).select(talk.context_key(F.col("messages")).alias("context_key"), F.size("messages").cast("long").alias("n_messages"))
-    return keyed.groupBy("context_key").agg(F.count(F.lit(1)).alias("n_conversations"), F.min("n_messages").alias("n_messages"))
-
-
-@query()
-def chat_continue_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``chat_continue`` with the key that the chat node makes itself."""
-    return _continued(spark, sf_dir).select("conv_id", F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), F.col("context_token").alias("context_key"))
-
-
-@query()
-def context_token_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token that a chat graph hands on for the last message of every conversation, whatever is in it."""
     return _tokens(table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("message")))
 
 
+#: Earlier names of queries whose keys were not those of JSON in ASCII then.
+for _name, _then in (("context_prefix_key", "context_prefix_key_escaped"), ("context_dedupe", "context_dedupe_escaped"), ("chat_continue", "chat_continue_escaped"), ("context_token", "context_token_all")):
+    _QUERIES[_then], _SQL[_then] = _QUERIES[_name], _SQL[_name]
+
+
 @query("SELECT c_custkey, 'k_' || substr(sha256(c_name), 1, 12) AS hash_key FROM customer")
 def hash_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph.of("keys", {"in": ("input", {"label": "c_name"}), "k": ("generate_random_key", {"prefix": "k_", "key_length": 12}), "out": ("output", {})}, [("in.output", "k.seed_data"), ("k.hash_key", "out.input")])
@@ -564,6 +629,11 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
+def _cosine(a: Column, b: Column) -> Column:
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
 @query(
     """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
     SELECT vec_id, label FROM embeddings, q WHERE vec_id <> 0 AND label < 5 ORDER BY list_cosine_similarity(embedding::double[], e::double[]) DESC, vec_id LIMIT 10"""
@@ -572,10 +642,82 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten vectors most like vector 0 by cosine, of some labels: a top-k search for one query."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.where(F.col("vec_id") == 0).select(F.col("embedding").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     near = rows.where((F.col("vec_id") != 0) & (F.col("label") < 5)).crossJoin(F.broadcast(asked))  # one row
-    score = dot(F.col("embedding"), F.col("e")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("e"), F.col("e")))
-    return near.withColumn("score", score).orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "label")
+    return near.withColumn("score", _cosine(F.col("embedding"), F.col("e"))).orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "label")
+
+
+@query(
+    """WITH ops AS (SELECT user_id, event_id, (ts, event_id) AS o, event_type, CASE WHEN event_id % 97 = 0 THEN 'clear' WHEN event_id % 3 = 0 THEN 'increment' WHEN event_id % 3 = 1 THEN 'append' ELSE 'update' END AS op, CASE WHEN event_id % 97 = 0 AND event_id % 2 = 0 THEN NULL ELSE 'n' || (event_id % 2) END AS name FROM events),
+    c AS (SELECT user_id, name, max(o) AS c FROM ops WHERE op = 'clear' GROUP BY ALL),
+    l AS (SELECT x.* FROM ops x WHERE op <> 'clear' AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = x.user_id AND (c.name IS NULL OR c.name = x.name) AND c.c > x.o)),
+    d AS (SELECT user_id, name, event_type, max(o)[2] AS v FROM l WHERE op = 'update' GROUP BY ALL),
+    e AS (SELECT user_id, name, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS fields FROM d GROUP BY ALL)
+    SELECT user_id, name, sum(length(event_type)) FILTER (WHERE op = 'increment')::bigint AS counter, coalesce(string_agg(event_type, ',' ORDER BY o) FILTER (WHERE op = 'append'), '') AS items, fields
+    FROM l LEFT JOIN e USING (user_id, name) GROUP BY user_id, name, fields"""
+)
+def instance_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters, lists and dicts of each instance after all events, some of which clear a name or all."""
+    k = F.col("event_id")
+    op = F.when(k % 97 == 0, "clear").when(k % 3 == 0, "increment").when(k % 3 == 1, "append").otherwise("update")
+    name = F.when((k % 97 == 0) & (k % 2 == 0), None).otherwise(F.concat(F.lit("n"), (k % 2).cast("string")))
+    value = F.when(op == "increment", F.length("event_type").cast("string")).when(op == "update", F.to_json(F.create_map("event_type", k.cast("string")))).otherwise(F.col("event_type"))
+    ops = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", op.alias("op"), name.alias("name"), value.alias("value"))
+    state = instances.keyed_state(ops, "user_id", F.struct("ts", "event_id"))
+    fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return state.select("user_id", "name", "counter", F.array_join("items", ",").alias("items"), fields.alias("fields"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND json_extract(props, '$.k')::varchar = '7'")
+def object_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of a type whose metadata has a value."""
+    rows = catalog.matching(table(spark, sf_dir, "events"), {"event_type": "click"}, "props", {"k": 7})
+    return rows.select("event_id", "event_type")
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one table lacks of another."""
+    return table(spark, sf_dir, "documents").select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
+
+
+@query("SELECT doc_id, 'Result' AS name, upper(replace(text, 'ß', 'ss')) AS result FROM documents")
+def output_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outputs of recorded executions under the names that their nodes show."""
+    graph = _transform("uppercase")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = Engine().run(graph, rows, keep=["doc_id"]).select("doc_id", F.lit(graph.name).alias("graph"), F.create_map(F.lit("out"), F.col("out.result")).alias("outputs"))
+    return catalog.named_outputs(done, graph.node_rows(spark)).select("doc_id", "name", "result")
+
+
+_COSINE = "list_cosine_similarity(embedding::double[], e::double[])"
+
+
+@query(
+    f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), near AS (SELECT vec_id, label FROM embeddings, q WHERE vec_id <> 0 AND label < 5 ORDER BY {_COSINE} DESC, vec_id LIMIT 10)
+    SELECT vec_id, label, d.source, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM near LEFT JOIN documents d ON d.doc_id = vec_id LEFT JOIN labels l ON l.doc_id = vec_id"""
+)
+def search_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a vector search with the metadata and annotations of their objects."""
+    hits = semantic_topk(spark, sf_dir)
+    objects = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    notes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), "quality", "toxic")
+    met = F.broadcast(hits).join(objects, "vec_id", "left").join(notes, "vec_id", "left")  # ten hits
+    return met.select("vec_id", "label", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query(
+    f"""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, {_COSINE} AS near, (contains(text, 'the')::int + contains(text, 'and')::int + contains(text, 'of')::int) / 3.0 AS words
+      FROM embeddings JOIN documents ON doc_id = vec_id, q WHERE vec_id <> 0)
+    SELECT vec_id FROM s ORDER BY 0.5::double * near + 0.5::double * words DESC, vec_id LIMIT 10"""
+)
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten objects with the best mean of likeness to a vector and share of words found: a top-k search for one query."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    asked = rows.where(F.col("doc_id") == 0).select(F.col("embedding").alias("e"))
+    met = rows.where(F.col("doc_id") != 0).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").crossJoin(F.broadcast(asked))  # one row
+    found = sum(F.contains("text", F.lit(w)).cast("int") for w in ("the", "and", "of")) / F.lit(3.0)
+    score = 0.5 * _cosine(F.col("embedding"), F.col("e")) + 0.5 * found
+    return met.withColumn("score", score).orderBy(F.desc("score"), "doc_id").limit(10).select(F.col("doc_id").alias("vec_id"))
 
 
 def queries() -> dict[str, Query]:

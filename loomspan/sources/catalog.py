@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsons
 from ..plans.graph import Graph
 
 GRAPHS = "graph_id string, name string, body string, version bigint, deleted boolean"
@@ -85,3 +87,23 @@ class Catalog:
         rows = self.spark.read.parquet(self.records)
         rows = rows if graph is None else rows.where(F.col("graph") == graph)
         return rows if status is None else rows.where(F.col("status") == status)
+
+
+def matching(objects: DataFrame, equal: dict[str, object], metadata: str = "metadata", values: dict[str, object] | None = None) -> DataFrame:
+    """Objects whose columns equal some values, and whose JSON ``metadata`` holds some values under keys of its top level.
+    JSON values are compared as they are written: a number isn't a text."""
+    for column, value in equal.items():
+        objects = objects.where(F.col(column) == F.lit(value))
+    parsed = F.try_parse_json(F.col(metadata))
+    for k, value in (values or {}).items():
+        found = F.to_json(jsons.at(parsed, [k]))
+        objects = objects.where(found == F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))))
+    return objects
+
+
+def named_outputs(executions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A row for each output of each execution (``graph``, ``outputs`` map from node ids), with the ``name`` that its node
+    shows: its label, else its type, else its id. Only output nodes count. ``nodes`` is as ``Graph.node_rows`` gives it; one
+    row for each node of the catalog, it is broadcast by Spark if it is small."""
+    shown = nodes.where(F.col("node_type") == "output").select("graph", "node_id", F.coalesce(F.nullif("label", F.lit("")), "node_type", "node_id").alias("name"))
+    return executions.select("*", F.explode("outputs").alias("node_id", "result")).drop("outputs").join(shown, ["graph", "node_id"])

@@ -3,8 +3,10 @@ a stream, it is Structured Streaming's keyed state, and both give the same total
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import replace
 from typing import Any
 
 import pandas as pd
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators.chat import MESSAGES
 from ..plans.compiler import Engine
 from ..plans.graph import Graph
 
@@ -46,8 +49,9 @@ class Instances:
 
     def __init__(self, spark: SparkSession, folder: str, engine: Engine):
         self.spark, self.engine = spark, engine
-        self.path, self.history = f"{folder.rstrip('/')}/instances", f"{folder.rstrip('/')}/instance_runs"
+        self.path, self.history, self.talks = (f"{folder.rstrip('/')}/{n}" for n in ("instances", "instance_runs", "instance_contexts"))
         self._write([])
+        spark.createDataFrame([], f"context_key string, messages {MESSAGES}").write.mode("append").parquet(self.talks)
 
     def _write(self, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, LOG).write.mode("append").parquet(self.path)
@@ -71,13 +75,19 @@ class Instances:
 
     def execute(self, instance: str, rows: DataFrame) -> DataFrame:
         """Runs the instance's graph on ``rows``, with the context token of the run before as input ``_context_key_last``;
-        the results are recorded, and returned as recorded."""
+        chats load that context from the contexts that earlier runs wrote. The results are recorded, and returned as
+        recorded."""
         now = self.get(instance)
         given = rows.withColumn("_context_key_last", F.lit(now["state"].get("context_token")).cast("string"))
         run = str(uuid.uuid4())
-        done = self.engine.run(self.engine.graphs[now["graph"]], given).withColumns({"instance_id": F.lit(instance), "run_id": F.lit(run)})
+        contexts = self.spark.read.schema(f"context_key string, messages {MESSAGES}").parquet(self.talks)
+        engine = replace(self.engine, contexts=contexts)
+        done = engine.run(engine.graphs[now["graph"]], given).withColumns({"instance_id": F.lit(instance), "run_id": F.lit(run)})
         done.select("instance_id", "run_id", F.to_json(F.struct(*done.columns)).alias("body")).write.mode("append").parquet(self.history)
         recorded = self.runs(instance).where(F.col("run_id") == run)
+        if "context_write" in done.columns:
+            made = recorded.select(F.from_json(F.get_json_object("body", "$.context_write"), f"struct<context_key:string,messages:{MESSAGES}>").alias("w"))
+            made.where(F.col("w.context_key").isNotNull()).select("w.*").dropDuplicates(["context_key"]).write.mode("append").parquet(self.talks)
         token = recorded.select(F.max(F.get_json_object("body", "$.context_token"))).first()[0]
         state = now["state"] | ({"context_token": token} if token else {})
         self._write([(instance, now["graph"], now["run_count"] + 1, state, True, now["version"] + 1)])
@@ -132,6 +142,76 @@ def stream_state(runs: DataFrame, key: str, item: str, order: str, command: str
     return runs.groupBy(key).transformWithStateInPandas(RunState(key, item, order, command), f"{key} {kind}, run_count long, last_item string", "Update", "None")
 
 
+#: Operations on an instance's keyed state: instance, name (null: all), operation, value (text; of ``update`` a JSON object).
+STATE_OPS = ("set", "increment", "append", "update", "clear")
+
+
+def keyed_state(ops: DataFrame, key: str, order: Column) -> DataFrame:
+    """The state after all operations, a row for each instance and name that was not cleared since: ``counter`` (sum of
+    increments), ``items`` (what was appended, in order), ``fields`` (the last value of each field), ``value`` (the last set).
+
+    ``ops`` has ``key``, ``name``, ``op``, ``value``. Clears are found by partial maxima and joined back by instance; counters
+    are summed before they are shuffled. A list is one value, as in the state that it stands for."""
+    rows = ops.withColumn("at", order)
+    clears = rows.where(F.col("op") == "clear")
+    by_name = clears.where(F.col("name").isNotNull()).groupBy(key, "name").agg(F.max("at").alias("c1"))
+    by_all = clears.where(F.col("name").isNull()).groupBy(key).agg(F.max("at").alias("c2"))
+    live = rows.where(F.col("op") != "clear").join(by_name, [key, "name"], "left").join(by_all, [key], "left")
+    live = live.where(F.coalesce(F.col("at") > F.col("c1"), F.lit(True)) & F.coalesce(F.col("at") > F.col("c2"), F.lit(True)))
+    is_ = lambda op, then: F.when(F.col("op") == op, then)
+    fields = live.where(F.col("op") == "update").select(key, "name", "at", F.explode(F.from_json("value", "map<string,string>")).alias("field", "x"))
+    fields = fields.groupBy(key, "name", "field").agg(F.max_by("x", "at").alias("x")).groupBy(key, "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "x")))).alias("fields"))
+    listed = F.array_sort(F.collect_list(is_("append", F.struct("at", "value"))))
+    told = live.groupBy(key, "name").agg(F.sum(is_("increment", F.col("value").cast("long"))).alias("counter"), listed.alias("l"), F.max(is_("set", F.struct("at", "value"))).alias("s"))
+    return told.join(fields, [key, "name"], "left").select(key, "name", "counter", F.transform("l", lambda x: x["value"]).alias("items"), "fields", F.col("s.value").alias("value"))
+
+
+class KeyedState(StatefulProcessor):
+    """The same on a stream: state by name, as JSON, that can expire ``ttl`` milliseconds after its last change. After each
+    operation its name and state are told; a clear tells null."""
+
+    def __init__(self, key: str, ttl: int | None = None):
+        self.key, self.ttl = key, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        text = lambda n: StructType([StructField(n, StringType())])
+        self.state = handle.getMapState("by_name", text("name"), text("body"), self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        for batch in rows:
+            out = []
+            for name, op, value in zip(batch["name"], batch["op"], batch["value"], strict=True):
+                if op == "clear":
+                    for gone in [(name,)] if isinstance(name, str) else list(self.state.keys()):
+                        if self.state.containsKey(gone):
+                            self.state.removeKey(gone)
+                    out.append((key[0], name, None))
+                    continue
+                now = json.loads(self.state.getValue((name,))[0]) if self.state.containsKey((name,)) else {}
+                if op == "increment":
+                    now["counter"] = now.get("counter", 0) + int(value)
+                elif op == "append":
+                    now["items"] = [*now.get("items", []), value]
+                elif op == "update":
+                    now["fields"] = now.get("fields", {}) | json.loads(value)
+                else:
+                    now["value"] = value
+                body = json.dumps(now, sort_keys=True)
+                self.state.updateValue((name,), (body,))
+                out.append((key[0], name, body))
+            yield pd.DataFrame(out, columns=[self.key, "name", "state"])
+
+    def close(self) -> None:
+        return
+
+
+def stream_keyed_state(ops: DataFrame, key: str, ttl: int | None = None) -> DataFrame:
+    """Keyed state by instance over a stream of operations (``key``, ``name``, ``op``, ``value``), told after each."""
+    kind = dict(ops.dtypes)[key]
+    mode = "ProcessingTime" if ttl is not None else "None"
+    return ops.groupBy(key).transformWithStateInPandas(KeyedState(key, ttl), f"{key} {kind}, name string, state string", "Update", mode)
+
+
 def run_stream(engine: Engine, graph: Graph, rows: DataFrame, path: str, checkpoint: str, **trigger: Any) -> Any:
     """A graph over a stream of inputs, its outputs appended as Parquet."""
     sink = engine.run(graph, rows).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)

@@ -1,14 +1,19 @@
 import hashlib
+import http.server
+import itertools
 import json
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import conversation as talk
 from loomspan.functions import text as texts
-from loomspan.operators import context
-from loomspan.operators.chat import answered, capabilities
+from loomspan.operators import BUILT_IN, Built, Registry, Value, context
+from loomspan.operators.base import NodeClass
+from loomspan.operators.chat import answered, capabilities, hosted_provider, local_provider
+from loomspan.operators.text import java_pattern
 from loomspan.plans.compiler import Engine
 from loomspan.plans.graph import Graph
 
@@ -164,3 +169,88 @@ def test_keys(spark):
     for form in ("hex", "alphanumeric", "words", "uuid"):
         random, _, hashed = make(None, format=form)
         assert random == hashed and random.startswith("p_") and len(random) <= 12
+
+
+def test_chats_continue_a_context(spark):
+    """By key: the history is loaded, the turn counts on, the new key is of the whole; other rows begin anew."""
+    engine = Engine()
+    graph = Graph.of("g", {"m": ("input", {"label": "message"}), "k": ("input", {"label": "key"}), "chat": ("immutable_chat", {}), "smart": ("smart_chat", {}), "a": ("output", {}), "b": ("output", {}), "w": ("output", {})}, [("m.output", "chat.message"), ("k.output", "chat.context_key"), ("m.output", "smart.message"), ("k.output", "smart.context_id"), ("chat.response", "a.input"), ("smart.response", "b.input"), ("chat.write", "w.input")])
+    first = engine.run(graph, spark.createDataFrame([("hé",)], "message string")).first()
+    write = first["w"]["result"]
+    contexts = spark.createDataFrame([(write["context_key"], write["messages"])] * 2, "context_key string, messages array<struct<role:string,content:string>>")
+    engine = Engine(contexts=contexts)
+    rows = spark.createDataFrame([("go", write["context_key"]), ("go", "unknown"), ("go", None)], "message string, key string")
+    got = engine.run(graph, rows).select("message", "key", "a.result", F.col("b.result").alias("smart"), F.col("w.result").alias("w")).collect()
+    assert len(got) == 3
+    said = {(r.message, r.key): r for r in got}
+    again = said["go", write["context_key"]]
+    assert again.result == again.smart == "[MOCK MOCK] Turn 2 response to: go" and len(again.w["messages"]) == 5
+    plain = json.dumps([m.asDict() for m in again.w["messages"]], sort_keys=True, separators=(",", ":"))
+    assert again.w["context_key"] == hashlib.sha256(plain.encode()).hexdigest()[:16]
+    assert said["go", "unknown"].result == said["go", None].result == "[MOCK MOCK] Turn 1 response to: go"
+    assert ports(spark, "immutable_chat", {}, [{"message": None, "context_key": "k"}], ["response", "context_key"], contexts=contexts) == [("Error: No message provided", "k")]
+
+
+def test_providers(spark):
+    """Local and hosted servers: answers, failures, and each distinct request asked once."""
+    asked = []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body)
+            text = body.get("prompt") or body["messages"][-1]["content"]
+            reply = b"not json" if "broken" in text else json.dumps({"content": [{"text": body["system"] + "|"}, {"text": text}]} if "messages" in body else {"response": "  fine  "}).encode()
+            self.send_response(503 if "fail" in text else 200)
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *_):
+            return
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        providers = {"local": local_provider(url, "m"), "hosted": hosted_provider(url, "m", "key"), "gone": local_provider("http://127.0.0.1:9", "m")}
+        inputs = [{"message": m} for m in ("hello", "hello", "fail", "broken")]
+        got = ports(spark, "immutable_chat", {"provider": "local"}, inputs, ["response"], providers=providers)
+        assert sorted(r[0] for r in got)[1:] == ["Ollama error: HTTP 503", "fine", "fine"] and sorted(r[0] for r in got)[0].startswith("Error: ")
+        assert len(asked) == 3
+        got = ports(spark, "immutable_chat", {"provider": "hosted", "system_prompt": "Be kind."}, inputs[1:], ["response"], providers=providers)
+        assert sorted(r[0][:30] for r in got) == ["Be kind.|hello", *["Error: Anthropic API error: " + r[0][28:30] for r in sorted(got) if "API" in r[0]]]
+        assert asked[-1]["system"] == "Be kind." and {m["role"] for m in asked[-1]["messages"]} == {"user"}
+        assert ports(spark, "immutable_chat", {"provider": "gone"}, inputs[:1], ["response"], providers=providers)[0][0].startswith("Error: ")
+    finally:
+        server.shutdown()
+
+
+def test_ports_with_defaults_and_classes_as_types(spark):
+    class ShoutNode(NodeClass):
+        inputs, outputs, defaults = {"text": True}, ("output",), {"text": "nothing"}
+
+        @staticmethod
+        def build(call):
+            return Built({"output": Value(F.upper(call.get("text").text()))})
+
+    class Named(ShoutNode):
+        NODE_TYPE = "loud"
+
+    assert (ShoutNode.as_type().name, Named.as_type().name) == ("shout", "loud")
+    registry = Registry(BUILT_IN.values())
+    registry.register(ShoutNode.as_type())
+    graph = Graph.of("g", {"in": ("input", {"label": "t", "value": None}), "a": ("shout", {}), "b": ("shout", {}), "x": ("output", {}), "y": ("output", {})}, [("in.output", "a.text"), ("a.output", "x.input"), ("b.output", "y.input")])
+    rows = spark.createDataFrame([("hi",), (None,)], "t string")
+    got = Engine(registry=registry).run(graph, rows).select("status", "x.result", F.col("y.result").alias("y")).collect()
+    assert sorted(map(tuple, got)) == [("completed", "HI", "NOTHING"), ("completed", "NOTHING", "NOTHING")]
+
+
+def test_patterns_mean_what_they_mean_in_python(spark):
+    """Matches of many patterns on texts of odd characters, on either path."""
+    patterns = [r"a.c", r"b$", r"^b", r"\s+", r"\S+", r"[\s,]+", r"[^\s]+", r"\w+", r"\W+", r"[\w-]+", r"\d+", r"[^\d]+", r"\bx", r"x\b", r"\Bx", r"[a&&b]+", r"[a\]]", r"[]a]+", r"[^]a]+", r"(?i)ß", r"(?i)abc", r"[[]", r"a{2,3}", r"(?:a|b)*c?", r"\.", r"\\", r"(?m)^b$", r"(?s)a.c", r"\Aa", r"a\Z", r"[\W]", r"[\b]", r"(?P<first_one>a)b", r"\u00e9", r"é+"]
+    pieces = ["a", "b", "c", "x", "ab", "1", "²", "é", "e\u0301", "ẞ", "ß", "_", "-", "&", "]", "[", ".", "\\", " ", "\t", "\x1c", "\x1f", "\x85", "\u2028", "\r", "\n", "abc", "a\rc", "b\n", "٣"]
+    samples = ["".join(p) for p in itertools.product(pieces, repeat=2)] + ["", "b\n\n", "a\nb\nc", "ABC abc", "xax x-x_x"]
+    for pattern in patterns:
+        got = ports(spark, "text_filter", {"pattern": pattern}, [{"text": t} for t in samples], ["matches", "filtered"])
+        assert got == [("\n".join(re.findall(pattern, t)), re.sub(pattern, "", t)) for t in samples], pattern
+    assert java_pattern(spark, r"\w+\s") and java_pattern(spark, r"[a&&b]") is None
