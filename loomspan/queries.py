@@ -652,7 +652,7 @@ def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     l AS (SELECT x.* FROM ops x WHERE op <> 'clear' AND NOT EXISTS (SELECT 1 FROM c WHERE c.user_id = x.user_id AND (c.name IS NULL OR c.name = x.name) AND c.c > x.o)),
     d AS (SELECT user_id, name, event_type, max(o)[2] AS v FROM l WHERE op = 'update' GROUP BY ALL),
     e AS (SELECT user_id, name, string_agg(event_type || '=' || v, ',' ORDER BY event_type) AS fields FROM d GROUP BY ALL)
-    SELECT user_id, name, sum(length(event_type)) FILTER (WHERE op = 'increment')::bigint AS counter, coalesce(string_agg(event_type, ',' ORDER BY o) FILTER (WHERE op = 'append'), '') AS items, fields
+    SELECT user_id, name, coalesce(sum(length(event_type)) FILTER (WHERE op = 'increment'), 0)::bigint AS counter, coalesce(string_agg(event_type, ',' ORDER BY o) FILTER (WHERE op = 'append'), '') AS items, fields
     FROM l LEFT JOIN e USING (user_id, name) GROUP BY user_id, name, fields"""
 )
 def instance_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,7 +664,7 @@ def instance_keyed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", op.alias("op"), name.alias("name"), value.alias("value"))
     state = instances.keyed_state(ops, "user_id", F.struct("ts", "event_id"))
     fields = F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return state.select("user_id", "name", "counter", F.array_join("items", ",").alias("items"), fields.alias("fields"))
+    return state.select("user_id", "name", F.coalesce("counter", F.lit(0)).cast("long").alias("counter"), F.array_join("items", ",").alias("items"), fields.alias("fields"))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' AND json_extract(props, '$.k')::varchar = '7'")
