@@ -18,25 +18,70 @@ def at(value: Column, parts: list[str]) -> Column:
     return F.try_variant_get(value, path_of(parts), "variant")
 
 
+def _loads(text: str):
+    """The value of a JSON text (of a repeated key, the last), or the text itself where it is none."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return text
+
+
 def _python_str(value: Column) -> Column:
     @F.pandas_udf("string")
     def as_str(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else str(json.loads(v)))
+        return values.map(lambda v: None if v is None else str(_loads(v)))
 
     return as_str(value)
 
 
-def rendered(value: Column) -> Column:
-    """``str()`` of a JSON value. Only objects and arrays leave the JVM."""
+def refused(raw: Column) -> Column:
+    """Whether a VARIANT can't hold what a text says: it isn't JSON, or an object in it repeats a key."""
+    return raw.isNotNull() & F.try_parse_json(raw).isNull()
+
+
+def simple(value: Column) -> Column:
+    """Whether a JSON value is null, true, false, a text or a whole number: what reads the same in a VARIANT as in its text."""
+    return F.schema_of_variant(value).isin("VOID", "BOOLEAN", "STRING", "BIGINT")
+
+
+def rendered(value: Column, raw: Column | None = None) -> Column:
+    """``str()`` of a JSON value. Only objects and arrays leave the JVM; and fractions, where ``raw``, the JSON text that the
+    value was read from, is known: it tells 1.0 from 1, the order of keys, and which of two equal keys was the last."""
     kind = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    return (
-        F.when(kind == "VOID", "None")
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .when(nested, _python_str(F.when(nested, F.to_json(value))))
-        .otherwise(text)
-    )
+    away = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    source = F.to_json(value)
+    if raw is not None:
+        away = away | (raw.isNotNull() & (~simple(value) | refused(raw)))
+        source = F.coalesce(raw, source)
+    return F.when(away, _python_str(F.when(away, source))).otherwise(rendered_simple(value))
+
+
+def rendered_simple(value: Column) -> Column:
+    """``str()`` of a JSON value that is ``simple``."""
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
+def walked(raw: Column, path: Column) -> Column:
+    """struct(text, body, reason): what stands at a dotted path in a JSON text, as ``str()`` and as JSON, or why nothing does.
+    For what a VARIANT can't tell."""
+
+    @F.pandas_udf("text string, body string, reason string")
+    def walk(raw: pd.Series, path: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, keys in zip(raw, path, strict=True):
+            at, why = None if text is None else _loads(text), None
+            if not at or not keys:
+                why = "missing_data_or_key"
+            for part in keys.split(".") if why is None else ():
+                if not isinstance(at, dict) or part not in at:
+                    why = f"key_not_found: {part}"
+                    break
+                at = at[part]
+            rows.append((None, None, why) if why else (str(at), json.dumps(at), None))
+        return pd.DataFrame(rows, columns=["text", "body", "reason"])
+
+    return walk(raw, path)
 
 
 def _set(data, parts: list[str], value, create: bool) -> tuple[object, bool, str | None]:
@@ -66,7 +111,7 @@ def replaced(data: Column, path: Column, value: Column, create: Column) -> Colum
     def put(data: pd.Series, path: pd.Series, value: pd.Series, create: pd.Series) -> pd.DataFrame:
         rows = []
         for d, p, v, c in zip(data, path, value, create, strict=True):
-            out, done, why = _set(None if d is None else json.loads(d), [x for x in (p or "").split(".") if x], None if v is None else json.loads(v), bool(c))
+            out, done, why = _set(None if d is None else _loads(d), [x for x in (p or "").split(".") if x], None if v is None else _loads(v), bool(c))
             rows.append((None if d is None else json.dumps(out, separators=(",", ":"), ensure_ascii=False), done, why))
         return pd.DataFrame(rows, columns=["result", "success", "reason"])
 

@@ -22,16 +22,17 @@ log = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class Value:
     """A port's column and what it holds: text, number, flag, json (VARIANT), messages or other. Of a number read from
-    text, ``whole`` says whether it is an int."""
+    text, ``whole`` says whether it is an int; of JSON read from text, ``raw`` is that text."""
 
     col: Column
     kind: str = "text"
     whole: Column | None = None
+    raw: Column | None = None
 
     def text(self) -> Column:
         """``str()`` of the value."""
         if self.kind == "json":
-            return jsons.rendered(self.col)
+            return jsons.rendered(self.col, self.raw)
         if self.kind == "flag":
             return F.initcap(self.col.cast("string"))
         if self.kind == "number" and self.whole is not None:

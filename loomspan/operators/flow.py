@@ -42,10 +42,10 @@ def _input(call: Call) -> Built:
     kind = values[0].kind
     first = F.coalesce(*[v.col if v.kind == kind else v.text() for v in values])
     if data_type == "json" and kind == "text":
-        return Built({"output": Value(F.coalesce(F.try_parse_json(first), first.cast("variant")), "json")})
+        return Built({"output": Value(F.coalesce(F.try_parse_json(first), first.cast("variant")), "json", raw=first)})
     if data_type == "number" and kind == "text":
         return Built({"output": Value(texts.number(first), "number", ~F.contains(first, F.lit(".")))})
-    return Built({"output": Value(first, kind, values[0].whole)})
+    return Built({"output": Value(first, kind, values[0].whole, None if values[0].raw is None else F.when(values[0].col.isNotNull(), values[0].raw))})
 
 
 def _output(call: Call) -> Built:

@@ -7,7 +7,7 @@ Catalyst to prune; failures of unselected nodes still count."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -140,11 +140,11 @@ class Engine:
                 reasons.append(built.error)
             columns = {f"{full}__{port}": v.col for port, v in built.ports.items()}
             frame = frame.withColumns(columns)
-            made[name] = {port: Value(F.col(f"`{full}__{port}`"), v.kind, v.whole) for port, v in built.ports.items()}
+            made[name] = {port: Value(F.col(f"`{full}__{port}`"), v.kind) for port, v in built.ports.items()}
             for port, v in built.ports.items():
-                if v.whole is not None:
-                    frame = frame.withColumn(f"{full}__{port}__whole", v.whole)
-                    made[name][port] = Value(made[name][port].col, v.kind, F.col(f"`{full}__{port}__whole`"))
+                more = {what: c for what, c in (("whole", v.whole), ("raw", v.raw)) if c is not None}
+                frame = frame.withColumns({f"{full}__{port}__{what}": c for what, c in more.items()})
+                made[name][port] = replace(made[name][port], **{what: F.col(f"`{full}__{port}__{what}`") for what in more})
             if reasons:
                 why = F.coalesce(*reasons)
                 failures.append(F.when(why.isNotNull(), F.struct(F.lit(position).alias("at"), F.lit(name).alias("node"), F.concat(F.lit(f"Node {name} failed: "), why).alias("message"))))

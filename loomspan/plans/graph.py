@@ -123,3 +123,8 @@ class Graph:
         """The graph's nodes as rows, to be joined with what executions tell."""
         rows = [(self.name, n.id, n.type, str(n.params.get("label", "")).strip() or None) for n in self.nodes.values()]
         return spark.createDataFrame(rows, "graph string, node_id string, node_type string, label string")
+
+    def edge_rows(self, spark: SparkSession) -> DataFrame:
+        """The graph's edges as rows."""
+        rows = [(self.name, e.source, e.source_port, e.target, e.target_port) for e in self.edges]
+        return spark.createDataFrame(rows, "graph string, source string, source_port string, target string, target_port string")

@@ -11,6 +11,7 @@ from .functions import conversation as talk
 from .functions.text import SPACES
 from .operators import chat, context
 from .plans.compiler import Engine, reduced
+from .plans import relations
 from .plans.graph import Graph
 from .sources import catalog
 from .sources.shared import written
@@ -509,6 +510,10 @@ def instance_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES_SQL = "SELECT p_brand AS graph, p_partkey AS source, p_partkey * 2 AS target FROM part"
 
 
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("node_id"), F.lit("input").alias("node_type"))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("source"), (F.col("p_partkey") * 2).alias("target"))
 
@@ -516,32 +521,30 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH e AS ({_EDGES_SQL}) SELECT source, target FROM e WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = e.target)")
 def graph_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges whose target is no node."""
-    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("target"))
-    return _edges(spark, sf_dir).join(nodes, "target", "left_anti").select("source", "target")
+    return relations.dangling(_edges(spark, sf_dir), _nodes(spark, sf_dir), within=()).select("source", "target")
 
 
 @query(f"WITH e AS ({_EDGES_SQL}) SELECT graph, target, count(*) AS in_degree FROM e GROUP BY graph, target")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges(spark, sf_dir).groupBy("graph", "target").agg(F.count(F.lit(1)).alias("in_degree"))
+    return relations.in_degrees(_edges(spark, sf_dir))
 
 
 @query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1")
 def graph_duplicate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges (part to supplier) that are listed more than once."""
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return relations.repeated(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"))
 
 
 @query("SELECT p_brand AS graph, p_partkey AS node_id, 'input_' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey::varchar) AS ordinal_key FROM part")
 def graph_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each input node among its graph's, by id as text."""
-    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.col("p_partkey").cast("string")))
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("node_id"), F.concat(F.lit("input_"), rank.cast("string")).alias("ordinal_key"))
+    return relations.input_keys(_nodes(spark, sf_dir)).withColumn("node_id", F.col("node_id").cast("long"))
 
 
-@query("SELECT p_type AS category, count(*) AS n, string_agg(p_partkey::varchar, ',' ORDER BY p_partkey) AS members FROM part GROUP BY p_type")
+@query("SELECT p_type AS category, p_partkey AS member, count(*) OVER (PARTITION BY p_type) AS n FROM part")
 def nodes_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
-    return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n"), members.alias("members"))
+    """Members of each category, a row each, with the category's size."""
+    return relations.by_category(table(spark, sf_dir, "part").select(F.col("p_type").alias("category"), F.col("p_partkey").alias("member")))
 
 
 def _failing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -617,16 +620,9 @@ def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node, max(depth)::int AS depth FROM level GROUP BY node"""
 )
 def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every node from the start of its chain, where edges lead from a number to its double: a level a round.
-    Each round's nodes are written to the shared folder, until a round finds none."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).distinct()
-    found = written(parts.where(F.col("node") % 2 == 1).withColumn("depth", F.lit(0)))
-    levels = found
-    while not found.isEmpty():
-        reached = found.select((F.col("node") * 2).alias("node"), (F.col("depth") + 1).alias("depth"))
-        found = written(parts.join(reached, "node"))
-        levels = levels.unionByName(found)
-    return levels.groupBy("node").agg(F.max("depth").alias("depth"))
+    """Distance of every node from the start of its chain, where edges lead from a number to its double."""
+    nodes = _nodes(spark, sf_dir)
+    return relations.depths(nodes, _edges(spark, sf_dir), nodes.where(F.col("node_id") % 2 == 1), within=())
 
 
 def _cosine(a: Column, b: Column) -> Column:

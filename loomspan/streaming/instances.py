@@ -1,5 +1,5 @@
-"""Instances: a graph with state that outlives a run. On a batch, state is a window over an instance's runs in order; on
-a stream, it is Structured Streaming's keyed state, and both give the same totals."""
+"""Instances: a graph with state that outlives a run. On a batch, state is told by an instance's runs in order; on a
+stream, it is Structured Streaming's keyed state, and both give the same totals."""
 
 from __future__ import annotations
 
@@ -10,23 +10,20 @@ from dataclasses import replace
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions import ordered
 from ..operators.chat import MESSAGES
 from ..plans.compiler import Engine
 from ..plans.graph import Graph
 
 
-def _so_far(key: str, order: list[str]) -> Any:
-    return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def run_counts(runs: DataFrame, key: str, order: list[str]) -> DataFrame:
     """``runs`` with ``run_count``: which run of its instance each is."""
-    return runs.withColumn("run_count", F.count(F.lit(1)).over(_so_far(key, order)))
+    return ordered.running_sum(runs, [key], order, "run_count")
 
 
 def totals(runs: DataFrame, key: str, item: Column, counter: Column, order: Column) -> DataFrame:
@@ -36,8 +33,7 @@ def totals(runs: DataFrame, key: str, item: Column, counter: Column, order: Colu
 
 def with_previous(runs: DataFrame, key: str, order: list[str], outputs: list[str]) -> DataFrame:
     """``runs`` with ``_context_key_<column>`` of the run before, for graphs whose inputs name it."""
-    before = Window.partitionBy(key).orderBy(*order)
-    return runs.withColumns({f"_context_key_{c}": F.lag(c).over(before) for c in outputs})
+    return ordered.previous(runs, [key], order, {f"_context_key_{c}": c for c in outputs})
 
 
 LOG = "instance_id string, graph string, run_count long, state map<string,string>, active boolean, version long"

@@ -96,6 +96,43 @@ def test_json_extract_of_empty_data(spark):
     assert got == [("d",), ("d",)]
 
 
+def test_json_reads_as_python_does(spark):
+    """Fractions, orders of keys, repeated keys and long numbers, by the text that was parsed."""
+    values = ["1.0", "0.000001", "1e22", "1E400", "-0.0", "12345678901234567890123", "1.50", '{"z": 1, "a": [1.0, null, true]}', '"1.0"', "null", "[]", '{"k": 1, "k": {"b": 2.0}}', "NaN", '"\\u00e9 \\"q\\""', "7"]
+    texts_ = [f'{{"x": {{"v": {v}}}, "n": 0}}' for v in values] + ['{"x": 1, "x": {"v": 2}}', '{"x": {"v": 1}, "x": 3}', "[1", "", None, "{}", "null", '{"x": {"v": 1', '"text"']
+
+    def plain(text):
+        if text is None:
+            return "d"
+        try:
+            at = json.loads(text)
+        except ValueError:
+            at = text
+        for part in ("x", "v"):
+            if not isinstance(at, dict) or part not in at:
+                return "d"
+            at = at[part]
+        return str(at)
+
+    rows = spark.createDataFrame(list(enumerate(texts_)), "id long, t string")
+    for more in ({}, {"stringify": False}):
+        for kind in ("json", "text"):
+            graph = Graph.of("g", {"d": ("input", {"label": "t", "data_type": kind}), "x": ("json_extract", {"key_path": "x.v", "default_value": "d", **more}), "c": ("text_concat", {"separator": ""}), "v": ("output", {}), "w": ("output", {})}, [("d.output", "x.data"), ("x.value", "c.text1"), ("x.value", "v.input"), ("c.output", "w.input")])
+            got = {r.id: r for r in Engine().run(graph, rows, keep=["id"]).select("id", F.col("v.result").alias("v"), F.col("w.result").alias("w")).collect()}
+            for k, text in enumerate(texts_):
+                if not more:
+                    assert got[k].v == plain(text), text
+                falsy = plain(text) in ("None", "[]", "-0.0", "0.0")
+                if not (more and falsy):
+                    assert got[k].w == plain(text), text
+
+
+def test_json_replace_of_what_is_no_json(spark):
+    given = [{"data": "not json", "value": "v"}, {"data": '{"k": 1, "k": 2.0}', "value": "v"}]
+    got = ports(spark, "json_replace", {"key_path": "a"}, given, ["text", "success"])
+    assert [(t, s.reason) for t, s in got] == [('"not json"', "target_not_dict"), ('{"k":2.0,"a":"v"}', None)]
+
+
 def test_json_replace(spark):
     def run(data, path, **more):
         graph = Graph.of("g", {"d": ("input", {"label": "d", "data_type": "json"}), "v": ("input", {"label": "v"}), "r": ("json_replace", {"key_path": path, **more}), "t": ("output", {}), "s": ("output", {})}, [("d.output", "r.data"), ("v.output", "r.value"), ("r.text", "t.input"), ("r.success", "s.input")])
