@@ -39,6 +39,12 @@ class Value:
             return F.when(self.whole, self.col.cast("bigint").cast("string")).otherwise(self.col.cast("string"))
         return self.col.cast("string")
 
+    def json(self) -> Column:
+        """JSON text of the value; text stands for itself, as JSON that is carried as text does."""
+        if self.kind != "json":
+            return self.col.cast("string") if self.kind in ("text", "number", "flag") else F.to_json(self.col)
+        return F.to_json(self.col) if self.raw is None else F.coalesce(self.raw, F.to_json(self.col))
+
     def plain_text(self, what: str) -> tuple[Column, Column | None]:
         """The value where it has to be text (null and other falsy values are empty), and an error where it isn't."""
         if self.kind == "text":

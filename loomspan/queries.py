@@ -14,8 +14,8 @@ from .plans.compiler import Engine, reduced
 from .plans import relations
 from .plans.graph import Graph
 from .sources import catalog
-from .sources.shared import written
-from .sources.tables import table
+from .sources.shared import new_folder, written
+from .sources.tables import requests, table, write_events
 from .streaming import instances
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,18 +327,18 @@ def _asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
 
 
-def _chat_graph() -> Graph:
+def _chat_graph(kind: str = "immutable_chat", port: str = "context_key") -> Graph:
     return Graph.of(
         "talk",
-        {"m": ("input", {"label": "message"}), "k": ("input", {"label": "_context"}), "chat": ("immutable_chat", {"model": "demo"}), "r": ("output", {}), "n": ("output", {})},
-        [("m.output", "chat.message"), ("k.output", "chat.context_key"), ("chat.response", "r.input"), ("chat.message_count", "n.input")],
+        {"m": ("input", {"label": "message"}), "k": ("input", {"label": "_context"}), "chat": (kind, {"model": "demo"}), "r": ("output", {}), "n": ("output", {})},
+        [("m.output", "chat.message"), ("k.output", f"chat.{port}"), ("chat.response", "r.input"), ("chat.message_count", "n.input")],
     )
 
 
-def _turn(rows: DataFrame, contexts: DataFrame | None, message: str) -> DataFrame:
+def _turn(rows: DataFrame, contexts: DataFrame | None, message: str, graph: Graph | None = None) -> DataFrame:
     """One turn of every conversation, by a graph whose chat loads the context that the row names."""
     given = rows.withColumn("message", F.col(message))
-    done = Engine(contexts=contexts).run(_chat_graph(), given)
+    done = Engine(contexts=contexts).run(graph or _chat_graph(), given)
     return done.select(*rows.columns, F.col("r.result").alias("response"), F.col("n.result").alias("message_count"), F.col("context_token").alias("context_key"), "context_write")
 
 
@@ -424,7 +424,7 @@ def _event_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 keys that hold a word: the listing is a page."""
-    return context.listed(_event_store(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), "purchase", 50).withColumn("data_size", F.col("data_size").cast("long"))
+    return context.listed(_event_store(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"), "purchase", 50).select("context_key", "age_hours", "is_expired", F.col("data_size").cast("long").alias("data_size"))
 
 
 def _upserted(spark: SparkSession, sf_dir: str, overwrite: bool) -> DataFrame:
@@ -547,10 +547,14 @@ def nodes_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.by_category(table(spark, sf_dir, "part").select(F.col("p_type").alias("category"), F.col("p_partkey").alias("member")))
 
 
+def _failing_graph() -> Graph:
+    """A graph whose input may have no value, which the next node needs."""
+    return Graph.of("fails", {"in": ("input", {"label": "text", "value": None}), "up": ("text_transform", {"operation": "uppercase"}), "out": ("output", {})}, [("in.output", "up.text"), ("up.output", "out.input")])
+
+
 def _failing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") != "de", F.col("text")).alias("text"))
-    graph = Graph.of("fails", {"in": ("input", {"label": "text", "value": None}), "up": ("text_transform", {"operation": "uppercase"}), "out": ("output", {})}, [("in.output", "up.text"), ("up.output", "out.input")])
-    return Engine().run(graph, rows, keep=["doc_id"])
+    return Engine().run(_failing_graph(), rows, keep=["doc_id"])
 
 
 @query(
@@ -716,6 +720,102 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.withColumn("score", score).orderBy(F.desc("score"), "doc_id").limit(10).select(F.col("doc_id").alias("vec_id"))
 
 
+@query(
+    f"""WITH {_TWO_TURNS} SELECT conv_id, CASE WHEN q2 <> '' THEN '[MOCK DEMO] Turn 2 response to: ' || q2 ELSE 'Error: No message provided' END AS response,
+    CASE WHEN q2 <> '' THEN '5' ELSE '0' END AS message_count, true AS same_context FROM b WHERE q1 <> ''"""
+)
+def smart_two_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns by the chat node whose context keeps its id: the second is given the first one's id alone."""
+    graph = _chat_graph("smart_chat", "context_id")
+    first = written(_turn(_asked_twice(spark, sf_dir).where("first <> ''").withColumn("_context", F.lit(None).cast("string")), None, "first", graph))
+    contexts = first.select("context_write.*").dropDuplicates(["context_key"])
+    done = _turn(first.select("conv_id", "last", F.col("context_key").alias("_context")), contexts, "last", graph)
+    return done.select("conv_id", "response", "message_count", (F.col("context_key") == F.col("_context")).alias("same_context"))
+
+
+def _kept(spark: SparkSession, sf_dir: str, overwrite: bool, *ports: str) -> tuple[DataFrame, DataFrame]:
+    """A store that holds half of the customers, and what a graph tells that is to store each of them for a day."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    never, then = F.lit(None).cast("timestamp_ntz"), F.lit("2024-01-31 12:00:00").cast("timestamp_ntz")
+    store = rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("context_key"), F.lit("old").alias("context_data"), then.alias("created_at"), then.alias("updated_at"), never.alias("expires_at"))
+    nodes = {"k": ("input", {"label": "c_custkey"}), "d": ("input", {"label": "c_name"}), "put": ("context_store", {"overwrite": overwrite})} | {p: ("output", {}) for p in ports}
+    graph = Graph.of("keep", nodes, [("k.output", "put.context_key"), ("d.output", "put.context_data"), *[(f"put.{p}", f"{p}.input") for p in ports]])
+    return store, Engine(store=store, now=NOW).run(graph, rows, keep=["c_custkey"])
+
+
+@query("SELECT c_custkey, c_custkey::varchar AS stored_key, CASE WHEN c_custkey % 2 = 1 THEN 'true' ELSE 'false' END AS success FROM customer")
+def context_store_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a graph tells that may not overwrite."""
+    _, done = _kept(spark, sf_dir, False, "stored_key", "success")
+    return done.select("c_custkey", F.col("stored_key.result").alias("stored_key"), F.col("success.result").alias("success"))
+
+
+@query(
+    f"""SELECT c_custkey::varchar AS context_key, c_name AS context_data, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-31 12:00:00' ELSE TIMESTAMP '{NOW}' END AS created_at,
+    TIMESTAMP '{NOW}' + INTERVAL 24 HOUR AS expires_at FROM customer"""
+)
+def context_store_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store after a graph has stored every customer."""
+    store, done = _kept(spark, sf_dir, True, "write")
+    return context.stored(store, done.select("write.result.*")).select("context_key", "context_data", "created_at", "expires_at")
+
+
+@query(
+    f"""WITH s AS (SELECT 'ctx_' || event_type || '_' || event_id AS k, CASE WHEN event_id % 5 > 0 THEN ts + to_hours(((event_id % 5) * 60)::bigint) END AS expires FROM events),
+    n AS (SELECT least(count(*), 20)::varchar AS n FROM s WHERE contains(k, 'click') AND (expires IS NULL OR expires > TIMESTAMP '{NOW}'))
+    SELECT c_custkey, n AS listed FROM customer, n"""
+)
+def context_list_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph that lists contexts, run for every customer: the listing is a page of 20."""
+    graph = Graph.of("list", {"all": ("context_list", {"filter": "click", "limit": 20}), "n": ("output", {})}, [("all.count", "n.input")])
+    done = Engine(store=_event_store(spark, sf_dir), now=NOW).run(graph, table(spark, sf_dir, "customer").select("c_custkey"))
+    return done.select("c_custkey", F.col("n.result").alias("listed"))
+
+
+@query("SELECT event_id, upper(event_type) AS result FROM events")
+def json_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON lines, and read again as the requests of executions."""
+    path = new_folder(spark)
+    write_events(table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text")), path)
+    rows = requests(spark, path, "event_id long, text string")
+    return Engine().run(_transform("uppercase"), rows, keep=["event_id"]).select("event_id", F.col("out.result").alias("result"))
+
+
+@query(
+    """SELECT 'fails' AS graph, CASE WHEN coalesce(lang <> 'de', false) THEN 'completed' ELSE 'failed' END AS status, CASE WHEN coalesce(lang <> 'de', false) THEN upper(replace(text, 'ß', 'ss')) END AS result,
+    CASE WHEN coalesce(lang <> 'de', false) THEN NULL ELSE 'Graph execution failed: Node up failed: Invalid inputs for node up. Missing required inputs: [''text'']' END AS error FROM documents"""
+)
+def recorded_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An execution for each document, recorded in a catalog, and read back by graph."""
+    rows = table(spark, sf_dir, "documents").select(F.when(F.col("lang") != "de", F.col("text")).alias("text"))
+    kept = catalog.Catalog(spark, new_folder(spark))
+    graph = _failing_graph()
+    kept.record(Engine().execute(graph, rows))
+    done = kept.executions(graph.name)
+    return done.select("graph", "status", F.get_json_object("outputs", "$.out.result").alias("result"), F.map_values("errors")[0].alias("error"))
+
+
+@query("SELECT c_custkey, upper(c_name) AS result, 2::bigint AS n_runs, 2::bigint AS run_count FROM customer")
+def instance_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instance that is run twice on every customer: what it recorded, and how many runs its state tells."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("text"))
+    graph = _transform("uppercase")
+    kept = instances.Instances(spark, new_folder(spark), Engine(graphs={graph.name: graph}))
+    made = kept.create(graph.name)
+    for _ in range(2):
+        kept.execute(made, rows)
+    body = F.from_json("body", "c_custkey long, out struct<result:string>")
+    told = kept.runs(made).select("run_id", body.alias("b")).groupBy("b.c_custkey", "b.out.result").agg(F.count_distinct("run_id").alias("n_runs"))
+    return told.withColumn("run_count", F.lit(kept.get(made)["run_count"]).cast("long"))
+
+
+@query("SELECT date_trunc('hour', ts) AS began, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type: the windows of the streaming count, over a whole table."""
+    counts = instances.windowed(table(spark, sf_dir, "events").select("ts", "event_type"), "ts", "1 hour", "1 hour", ["event_type"])
+    return counts.select(F.col("window.start").cast("timestamp_ntz").alias("began"), "event_type", "n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"/tmp/loomspan-shared/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder in the shared folder that nobody else has. It goes like the tables that ``written`` makes."""
+    path = f"{shared_dir(spark)}/loomspan-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: later steps start from the files, not from
     the lineage, so a lost executor costs only its own tasks. The folder goes when the program ends, or at the end of the

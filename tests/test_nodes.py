@@ -127,6 +127,22 @@ def test_json_reads_as_python_does(spark):
                     assert got[k].w == plain(text), text
 
 
+def test_contexts_with_metadata(spark):
+    """Stored under the key that is told, with metadata, for a day by default; and found again with it."""
+    now = "2024-01-01 20:00:00"
+    asked = [{"context_key": "k", "context_data": "v", "metadata": '{"b": 1.0, "a": 2}'}, {"context_key": "", "context_data": "w", "metadata": "{}"}]
+    rows = ports(spark, "context_store", {}, asked, ["stored_key", "write"], now=now)
+    assert rows[0][0] == "k" and rows[1][0].startswith("ctx_") and str(rows[0][1].expires_at) == "2024-01-02 20:00:00"
+    writes = spark.createDataFrame([r[1] for r in rows], "context_key string, context_data string, written_at timestamp_ntz, expires_at timestamp_ntz, metadata string")
+    store = context.stored(spark.createDataFrame([], context.STORE), writes)
+    got = ports(spark, "context_retrieve", {}, [{"context_key": "k"}, {"context_key": "none"}], ["context_data", "found"], store=store, now=now)
+    assert got == [("v", "true"), ("{}", "false")]
+    graph = Graph.of("g", {"k": ("input", {"label": "k"}), "get": ("context_retrieve", {}), "x": ("json_extract", {"key_path": "b"}), "all": ("context_list", {"pattern": "k"}), "v": ("output", {}), "l": ("output", {})}, [("k.output", "get.context_key"), ("get.metadata", "x.data"), ("x.value", "v.input"), ("all.contexts", "l.input")])
+    row = Engine(store=store, now=now).run(graph, spark.createDataFrame([("k",)], "k string")).first()
+    assert row.v.result == "1.0"
+    assert json.loads(row.l.result) == [{"context_key": "k", "age_hours": 0.0, "created_at": "2024-01-01T20:00:00", "updated_at": "2024-01-01T20:00:00", "expires_at": "2024-01-02T20:00:00", "is_expired": False, "metadata": {"a": 2, "b": 1}, "data_size": 1}]
+
+
 def test_json_replace_of_what_is_no_json(spark):
     given = [{"data": "not json", "value": "v"}, {"data": '{"k": 1, "k": 2.0}', "value": "v"}]
     got = ports(spark, "json_replace", {"key_path": "a"}, given, ["text", "success"])
