@@ -61,5 +61,7 @@ def split_request(messages: Column, question: Column, default: str = "You are a
     return F.to_json(F.struct(system.alias("system"), F.concat(others, F.array(message(F.lit("user"), question))).alias("messages")))
 
 
-def mock_reply(question: Column, turn: Column, model: str = "mock") -> Column:
+def mock_reply(question: Column, turn: Column, model: str | Column = "mock") -> Column:
+    if isinstance(model, Column):
+        return F.concat(F.lit("[MOCK "), F.upper(model), F.lit("] Turn "), turn.cast("string"), F.lit(" response to: "), question)
     return F.format_string(f"[MOCK {model.upper().replace('%', '%%')}] Turn %d response to: %s", turn, question)

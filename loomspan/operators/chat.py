@@ -123,10 +123,22 @@ def acted(requests: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFram
 
 def _with_reply(call: Call, frame: DataFrame, history: Column, message: Column, name: str) -> DataFrame:
     provider = call.params.get("provider", "mock")
-    ask = (call.env.get("providers") or {}).get(provider)
+    known = call.env.get("providers") or {}
+    turn = F.size(F.filter(history, lambda m: m["role"] == "user")) + 1
+    model = _either(call, "model", "mock") if "model" in call.inputs else str(call.params.get("model", "mock"))
+    if "provider" in call.inputs:  # told by row: each provider is asked for its rows
+        which = _either(call, "provider", "mock")
+        replies = [F.when(which == "mock", talk.mock_reply(message, turn, model))]
+        for k, (called, ask) in enumerate(known.items()):
+            request = talk.split_request(history, message) if getattr(ask, "wants_messages", False) else talk.prompt(history, message)
+            frame = frame.withColumn(f"{name}_request{k}", F.when((which == called) & message.isNotNull(), request))
+            frame = with_answers(frame, f"{name}_request{k}", f"{name}_{k}", ask)
+            replies.append(F.col(f"{name}_{k}"))
+        unknown = F.when(~which.isin("mock", *known), F.concat(F.lit("Error: provider "), which, F.lit(" is not set up")))
+        return frame.withColumn(name, F.when(message.isNotNull(), F.coalesce(*replies, unknown)))
+    ask = known.get(provider)
     if provider == "mock":
-        turn = F.size(F.filter(history, lambda m: m["role"] == "user")) + 1
-        reply = talk.mock_reply(message, turn, str(call.params.get("model", "mock")))
+        reply = talk.mock_reply(message, turn, model)
     elif ask is None:
         reply = F.lit(f"Error: provider {provider} is not set up")
     else:
@@ -181,5 +193,5 @@ def _chat(call: Call, key_port: str, ascii_only: bool = True) -> Built:
 
 CHAT = [
     NodeType("smart_chat", "AI", {"message": False, "context_id": False, "messages": False}, ("response", "context_id", "messages", "message_count", "write"), lambda c: _chat(c, "context_id"), {"provider": "mock", "model": "mock", "system_prompt": "You are a helpful AI assistant.", "temperature": 0.7}, True),
-    NodeType("immutable_chat", "AI", {"message": False, "context_key": False, "messages": False, "system_prompt": False}, ("response", "context_key", "messages", "message_count", "write"), lambda c: _chat(c, "context_key"), {"provider": "mock", "model": "mock", "system_prompt": "You are a helpful AI assistant.", "temperature": 0.7}, True),
+    NodeType("immutable_chat", "AI", {"message": False, "context_key": False, "messages": False, "system_prompt": False, "model": False, "provider": False, "temperature": False}, ("response", "context_key", "messages", "message_count", "write"), lambda c: _chat(c, "context_key"), {"provider": "mock", "model": "mock", "system_prompt": "You are a helpful AI assistant.", "temperature": 0.7}, True),
 ]

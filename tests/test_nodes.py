@@ -127,6 +127,15 @@ def test_json_reads_as_python_does(spark):
                     assert got[k].w == plain(text), text
 
 
+def test_model_and_provider_by_row(spark):
+    asked = [("hi", "mock", "a"), ("yo", "loud", None), ("hm", "none", "b"), ("ok", None, ""), (None, "loud", "c")]
+    graph = Graph.of("g", {"m": ("input", {"label": "m"}), "p": ("input", {"label": "p"}), "w": ("input", {"label": "w"}), "c": ("immutable_chat", {"model": "own"}), "r": ("output", {})}, [("m.output", "c.message"), ("p.output", "c.provider"), ("w.output", "c.model"), ("c.response", "r.input")])
+    rows = spark.createDataFrame([(k, *a) for k, a in enumerate(asked)], "id long, m string, p string, w string")
+    done = Engine(providers={"loud": lambda text: text.upper()[-20:]}).run(graph, rows, keep=["id"])
+    got = {r.id: r.r.result for r in done.collect()}
+    assert got == {0: "[MOCK A] Turn 1 response to: hi", 1: "HUMAN: YO\n\nASSISTANT:"[-20:], 2: "Error: provider none is not set up", 3: "[MOCK OWN] Turn 1 response to: ok", 4: "Error: No message provided"}
+
+
 def test_contexts_with_metadata(spark):
     """Stored under the key that is told, with metadata, for a day by default; and found again with it."""
     now = "2024-01-01 20:00:00"
