@@ -22,13 +22,13 @@ def _as_json(value: Value) -> Column:
     return value.col.cast("string")
 
 
-def _found(success: Column, reason: Column | None = None) -> Value:
+def _found(success: Column, reason: Column | None = None, extracted: Column | None = None) -> Value:
     parts = [success.alias("success"), (F.lit(None).cast("string") if reason is None else reason).alias("reason")]
-    return Value(F.struct(*parts), "other")
+    return Value(F.struct(*parts, *([] if extracted is None else [F.when(success, extracted).alias("extracted")])), "other")
 
 
 def _extract(call: Call) -> Built:
-    """The value at a dotted path through objects; ``found`` is struct(success, reason). A ``key`` port that isn't empty
+    """The value at a dotted path through objects; ``found`` is struct(success, reason, extracted). A ``key`` port that isn't empty
     replaces the path, so its paths are walked row by row only then. Where the JSON text is known, rows leave the JVM whose
     value is an object, an array or a fraction, or whose text a VARIANT refuses."""
     given = call.get("data")
@@ -55,19 +55,20 @@ def _extract(call: Call) -> Built:
     if source is None:
         hit = reason.isNull()
         if raw:
-            return Built({"value": Value(F.when(hit, value).otherwise(default.cast("variant")), "json"), "found": _found(hit, reason)})
-        return Built({"value": Value(F.when(hit, jsons.rendered(value)).otherwise(default)), "found": _found(hit, reason)})
+            return Built({"value": Value(F.when(hit, value).otherwise(default.cast("variant")), "json"), "found": _found(hit, reason, value)})
+        return Built({"value": Value(F.when(hit, jsons.rendered(value)).otherwise(default)), "found": _found(hit, reason, value)})
     odd = jsons.refused(source)
     away = odd | (source.isNotNull() & reason.isNull() & ~jsons.simple(value))
     told = jsons.walked(F.when(away, source), whole)
     reason = F.when(odd, told["reason"]).otherwise(reason)
     hit = reason.isNull()
+    held = F.when(odd, F.coalesce(F.try_parse_json(told["body"]), told["body"].try_cast("double").cast("variant"))).otherwise(value)
     if raw:
         body = F.when(hit, F.when(away, told["body"]).otherwise(F.to_json(value))).otherwise(F.to_json(default.cast("variant")))
-        result = F.when(hit, F.when(odd, F.coalesce(F.try_parse_json(told["body"]), told["body"].try_cast("double").cast("variant"))).otherwise(value)).otherwise(default.cast("variant"))
-        return Built({"value": Value(result, "json", raw=body), "found": _found(hit, reason)})
+        result = F.when(hit, held).otherwise(default.cast("variant"))
+        return Built({"value": Value(result, "json", raw=body), "found": _found(hit, reason, held)})
     result = F.when(hit, F.when(away, told["text"]).otherwise(jsons.rendered_simple(value))).otherwise(default)
-    return Built({"value": Value(result), "found": _found(hit, reason)})
+    return Built({"value": Value(result), "found": _found(hit, reason, held)})
 
 
 def _step(value: Column, key: Column) -> Column:

@@ -152,6 +152,13 @@ def test_contexts_with_metadata(spark):
     assert json.loads(row.l.result) == [{"context_key": "k", "age_hours": 0.0, "created_at": "2024-01-01T20:00:00", "updated_at": "2024-01-01T20:00:00", "expires_at": "2024-01-02T20:00:00", "is_expired": False, "metadata": {"a": 2, "b": 1}, "data_size": 1}]
 
 
+def test_json_extract_tells_what_it_found(spark):
+    rows = spark.createDataFrame([(0, '{"k": [1, "x"]}'), (1, "{}")], "id long, t string")
+    graph = Graph.of("g", {"d": ("input", {"label": "t", "data_type": "json"}), "x": ("json_extract", {"key_path": "k"}), "f": ("output", {})}, [("d.output", "x.data"), ("x.found", "f.input")])
+    got = {r.id: json.loads(r.f) for r in Engine().run(graph, rows, keep=["id"]).select("id", F.to_json("f.result").alias("f")).collect()}
+    assert got == {0: {"success": True, "extracted": [1, "x"]}, 1: {"success": False, "reason": "missing_data_or_key"}}
+
+
 def test_json_replace_of_what_is_no_json(spark):
     given = [{"data": "not json", "value": "v"}, {"data": '{"k": 1, "k": 2.0}', "value": "v"}]
     got = ports(spark, "json_replace", {"key_path": "a"}, given, ["text", "success"])
